@@ -32,5 +32,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe_round_trip": op1_bpe_round_trip}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"), _path())
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
