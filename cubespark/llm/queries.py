@@ -38,11 +38,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _path())
 
 
+def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    found = simhash.classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substrings
 
     return substrings.cut(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op8_difference_cover_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op6_simhash_bk_trees, op8_difference_cover_dedup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
