@@ -45,11 +45,19 @@ def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substrings
 
     return substrings.cut(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op6_simhash_bk_trees, op8_difference_cover_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op6_simhash_bk_trees, op7_quadratic_discriminant, op8_difference_cover_dedup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
