@@ -38,6 +38,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _path())
 
 
+def op4_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import transducer
+
+    counted = transducer.count_tokens(_table(spark, sf_dir, "documents"), _path())
+    return counted.select("*", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -59,5 +66,5 @@ def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op6_simhash_bk_trees, op7_quadratic_discriminant, op8_difference_cover_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_transducer_counts, op6_simhash_bk_trees, op7_quadratic_discriminant, op8_difference_cover_dedup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
