@@ -45,6 +45,13 @@ def op4_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("*", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    found = media.read_media(media.write_media(_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", F.sha2("samples", 256).alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
 def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -66,5 +73,5 @@ def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_transducer_counts, op6_simhash_bk_trees, op7_quadratic_discriminant, op8_difference_cover_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_transducer_counts, op5_lossless_webp, op6_simhash_bk_trees, op7_quadratic_discriminant, op8_difference_cover_dedup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
