@@ -38,6 +38,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _path())
 
 
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "size")
+
+
 def op4_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import transducer
 
@@ -73,5 +79,5 @@ def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_transducer_counts, op5_lossless_webp, op6_simhash_bk_trees, op7_quadratic_discriminant, op8_difference_cover_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_warc_normaliser, op4_transducer_counts, op5_lossless_webp, op6_simhash_bk_trees, op7_quadratic_discriminant, op8_difference_cover_dedup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
