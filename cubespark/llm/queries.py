@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reachable
+from . import oracles
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -32,6 +33,13 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_merkle_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+
+    found = merkle.edits(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.round("near_edited", 9).alias("near_edited"), F.round("near_next", 9).alias("near_next"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -44,6 +52,12 @@ def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "size")
 
 
+def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licences
+
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import transducer
 
@@ -79,5 +93,19 @@ def op8_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_warc_normaliser, op4_transducer_counts, op5_lossless_webp, op6_simhash_bk_trees, op7_quadratic_discriminant, op8_difference_cover_dedup, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_round_trip,
+        op2_warc_normaliser,
+        op3_licence_digests,
+        op4_transducer_counts,
+        op5_lossless_webp,
+        op6_simhash_bk_trees,
+        op7_quadratic_discriminant,
+        op8_difference_cover_dedup,
+        op9_merkle_trees,
+        op10_best_fit_packing,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op3_licence_digests": oracles.licence_sql(), "op9_merkle_trees": oracles.merkle_sql()}
