@@ -146,7 +146,8 @@ def test_cube_histograms(spark, pixels, every):
     for parts in (1, 5):
         one = histogram.cube_histogram_onepass(pixels.repartition(parts), CUBE, 20, planes, every=every).orderBy("bin").collect()
         assert sum(r["count"] for r in one) == one[0].num_pixels == len(some) and (one[0].min, one[0].max) == (some.min(), some.max())
-        assert sum(abs(r["count"] - c) for r, c in zip(one, counts)) <= 0.1 * len(some)
+        upto, near = np.cumsum([0, *counts, 0]), np.cumsum([r["count"] for r in one])  # values on an edge may fall to its other side
+        assert (upto[:-2] <= near).all() and (near <= upto[2:]).all()
     refused("invalid_argument", selection.sampled, pixels, 0)
     nothing = histogram.cube_histogram_exact(pixels, CUBE, 4, PlaneSelection(Range(3, 1)))
     assert math.isnan(nothing[0]["min"]) and [r["count"] for r in nothing[1].collect()] == [0] * 4
