@@ -208,7 +208,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     roots = components(near_links(nodes.select("print"), radius, pieces), "near-links")
     rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     rooted = stored(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = rooted.join(least, "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", "print", "component_id")
 
