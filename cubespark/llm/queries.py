@@ -49,7 +49,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
-    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "size")
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +108,4 @@ QUERIES = {
         op10_best_fit_packing,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_licence_digests": oracles.licence_sql(), "op9_merkle_trees": oracles.merkle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_warc_normaliser": oracles.WARC, "op3_licence_digests": oracles.licence_sql(), "op8_difference_cover_dedup": oracles.REPEATS, "op9_merkle_trees": oracles.merkle_sql()}
