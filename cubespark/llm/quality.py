@@ -197,9 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: Discriminant, text: str = "text") -> DataFrame:
-    """docs with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 if score >= 0.5, else 0)."""
+    """docs with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 if score >= 0.5, else 0); columns of those names are replaced."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     result = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     schema, at = to_arrow_schema(result), docs.columns.index(text)

@@ -154,6 +154,16 @@ def test_quality_uses_no_held_out_label_and_no_other_input(marked, spark):
         quality.fit(docs, labels.filter("quality = 1"))
 
 
+def test_quality_of_odd_rows(marked, clashing, empty, spark):
+    model = quality.fit(*marked[:2])
+    odd = spark.createDataFrame([(None, None, 9.0, 7), (1, "", 9.0, 7), (1, "", 9.0, 7), (2, "x" * 100_000, 9.0, 7)], "doc_id bigint, text string, score double, predicted int")
+    found = quality.score(odd, model).collect()
+    assert len(found) == 4 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in found) and found[1] == found[2]
+    assert quality.score(empty, model).count() == 0 and quality.score(clashing, model).count() == 4
+    with pytest.raises(ValueError, match="both classes"):
+        quality.fit(empty, marked[1])
+
+
 def test_discriminant_is_the_gaussian_one():
     rnd = np.random.default_rng(0)
     x = np.concatenate([rnd.normal(0, 1, (300, 20)), rnd.normal(1, 2, (200, 20))])
