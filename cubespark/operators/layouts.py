@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,29 +56,42 @@ def scores(times: DataFrame, weights: DataFrame, layout: str = "setting", mode:
     return found.withColumn("rank", F.rank().over(Window.orderBy("score", layout)))
 
 
-def pareto(points: DataFrame, id_: str, costs: list[str]) -> DataFrame:
-    """Points that no other beats in one cost without being worse in another: an anti-join on dominance.
+def _front(costs: np.ndarray) -> np.ndarray:
+    """The rows that no other row beats, of distinct rows."""
+    order = np.lexsort(costs.T[::-1])
+    front: list[int] = []
+    best = np.empty((0, costs.shape[1]))
+    for i in order.tolist():  # in lexical order only an earlier row can beat a later one
+        if not (best <= costs[i]).all(axis=1).any():
+            front.append(i)
+            best = np.vstack([best, costs[i]])
+    return costs[front]
 
-    The candidates that can dominate are themselves few (a front), so points are thinned first to the
-    best in the first cost for each value of the others.
+
+def pareto(points: DataFrame, costs: list[str]) -> DataFrame:
+    """Points that no other beats in one cost without being worse in another; equal points stand together, and points with a null cost are out.
+
+    Fronts of partitions come first, then fronts of those in ever fewer tasks: what moves is a front, not the points.
     """
-    a, b = costs[0], costs[1:]
-    thin = points.groupBy(*b).agg(F.min(a).alias(a))
-    other = F.broadcast(thin.select(*[F.col(c).alias(f"o_{c}") for c in costs])) if len(b) > 1 else None
-    if other is None:
-        # Two costs: a running minimum along the second tells who is beaten.
-        c = b[0]
-        before = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        front = thin.withColumn("least", F.min(a).over(before)).filter(F.col("least").isNull() | (F.col(a) < F.col("least"))).select(a, c)
-        return points.join(F.broadcast(front), [a, c], "left_semi")
-    beaten = None
-    for c in costs:
-        one = F.col(f"o_{c}") <= F.col(c)
-        beaten = one if beaten is None else beaten & one
-    strict = F.lit(False)
+    kinds = ", ".join(f"{c} double" for c in costs)
+
+    def fronts(batches):
+        found = None
+        for batch in batches:
+            some = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            found = _front(np.unique(some if found is None else np.vstack([found, some]), axis=0))
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], names=costs)
+
+    front = points.select(*[F.col(c).cast("double").alias(c) for c in costs]).dropna().distinct()
+    for parts in (None, 64, 8, 1):
+        front = (front.repartition(parts) if parts else front).mapInArrow(fronts, kinds)
+    named = front.toDF(*[f"front_{c}" for c in costs])
+    same = None
     for c in costs:
-        strict = strict | (F.col(f"o_{c}") < F.col(c))
-    return points.join(other, beaten & strict, "left_anti")
+        one = points[c].cast("double") == named[f"front_{c}"]
+        same = one if same is None else same & one
+    return points.join(named, same, "left_semi")
 
 
 def checksum_mismatches(rows: DataFrame, position: list[str]) -> DataFrame:

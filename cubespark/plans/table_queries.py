@@ -117,7 +117,7 @@ def sweep_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sweep_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that none beats in price without being larger."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
-    return layouts.pareto(parts, "p_partkey", ["p_retailprice", "p_size"])
+    return layouts.pareto(parts, ["p_retailprice", "p_size"])
 
 
 def nearest_rank_p90(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,9 +195,9 @@ def test_layout_analytics(spark):
     points = [(i, *map(float, rnd.integers(0, 6, 3))) for i in range(60)]
     best = sorted(i for i, *p in points if not any(all(x <= y for x, y in zip(q, p)) and q != p for _, *q in points))
     frame = spark.createDataFrame(points, "i int, a double, b double, c double")
-    assert sorted(r.i for r in layouts.pareto(frame, "i", ["a", "b", "c"]).collect()) == best
+    assert sorted(r.i for r in layouts.pareto(frame, ["a", "b", "c"]).collect()) == best
     two = sorted(i for i, *p in points if not any(q[0] <= p[0] and q[1] <= p[1] and q[:2] != p[:2] for _, *q in points))
-    assert sorted(r.i for r in layouts.pareto(frame, "i", ["a", "b"]).collect()) == two
+    assert sorted(r.i for r in layouts.pareto(frame, ["a", "b"]).collect()) == two
     frames = spark.createDataFrame([("p", i, t) for i, t in enumerate([9.0, 0.1, 0.3, 0.2, 0.5])], "player string, frame int, took double")
     r = layouts.late_frames(frames, 4.0).first()
     assert (r.frames, r.late_frames, r.frame_first_s, r.frame_median_s, r.frame_max_s) == (5, 2, 9.0, 0.3, 0.5) and math.isclose(r.late_max_s, 0.25)
