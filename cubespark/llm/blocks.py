@@ -121,6 +121,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
+    """As ``stored``, bucketed by a key: what is grouped by it later is read in place and not shuffled."""
+    spark, name = df.sparkSession, f"{what.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.option("path", shared_folder(spark, what)).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def renamed(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the named columns, taken once each even if the input has clashing extra columns of other cases.
 
