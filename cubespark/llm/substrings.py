@@ -12,7 +12,7 @@ blocks (compressed, many rows each), and
 
 1. each block sends its distinct anchor hashes out by hash; an anchor that
    another block, or another place of the same block, holds comes back marked;
-2. windows that contain a marked anchor are candidates: their hashes (128 bits)
+2. windows that contain a marked anchor are candidates: their hashes (96 bits)
    go out in the same way, and those met again are the repeated windows - the
    extension of an anchor to the whole match;
 3. words under repeated windows are cut.
@@ -45,6 +45,8 @@ from .blocks import Block, as_rows, blocks_of, renamed, slices_of, stored, word_
 
 #: Difference covers by period: every residue is a difference of two members.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
+#: Bytes of text in a block: about forty times as much is held while its words are hashed.
+BLOCK = 4 << 20
 #: Odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -69,23 +71,23 @@ def _row(block: int, bucket: int, payload: bytes, is_open: bool = False) -> pa.R
     return as_rows(BLOCKS, block=[block], bucket=[bucket], open=[is_open], payload=[payload])
 
 
-def _packed(block: Block, kept: pa.RecordBatch) -> bytes:
-    """A block of texts with the other columns of its rows."""
+def _packed(block: Block, kept: pa.RecordBatch, starts: bytes = b"") -> bytes:
+    """A block of texts with the other columns of its rows; starts: a bit for each word, set where a candidate window starts."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, kept.schema) as out:
         out.write_batch(kept)
-    return pickle.dumps((_squeeze(block.data.tobytes()), block.offsets, _squeeze(sink.getvalue().to_pybytes())))
+    return pickle.dumps((_squeeze(block.data.tobytes()), block.offsets, _squeeze(sink.getvalue().to_pybytes()), starts))
 
 
-def _unpacked(payload: bytes) -> tuple[Block, pa.Table]:
-    data, offsets, kept = pickle.loads(payload)
-    return Block(0, np.frombuffer(_expand(data), np.uint8), offsets), pa.ipc.open_stream(_expand(kept)).read_all()
+def _unpacked(payload: bytes) -> tuple[Block, pa.Table, bytes]:
+    data, offsets, kept, starts = pickle.loads(payload)
+    return Block(0, np.frombuffer(_expand(data), np.uint8), offsets), pa.ipc.open_stream(_expand(kept)).read_all(), starts
 
 
 def _pack(batches):
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for block in blocks_of(batch.column(0)):
+        for block in blocks_of(batch.column(0), BLOCK):
             number += 1
             kept = batch.select(batch.schema.names[1:]).slice(block.first, block.rows)
             yield _row(number, -1, _packed(block, kept))
@@ -140,17 +142,40 @@ class Words:
         return np.cumsum(change[:n]) > 0
 
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, place of each key among them, counts); pairs are sorted as two columns, much sooner than as records."""
+    if keys.dtype.names is None:
+        return np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.lexsort((keys["k1"], keys["k0"]))
+    k = keys[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k["k0"][1:] != k["k0"][:-1]) | (k["k1"][1:] != k["k1"][:-1])
+    place = np.empty(len(k), np.int64)
+    place[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return k[at], place, np.diff(np.append(at, len(k)))
+
+
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among some."""
+    if keys.dtype.names is None:
+        return np.isin(keys, some)
+    distinct, place, _ = _grouped(np.concatenate([some, keys]))
+    known = np.zeros(len(distinct), bool)
+    known[place[: len(some)]] = True
+    return known[place[len(some) :]]
+
+
 def _dealt(block: int, hashes: np.ndarray, buckets: int):
-    """One row for each bucket: the block's distinct hashes there (rows of 64-bit words) and which it holds twice."""
-    keys = np.ascontiguousarray(hashes).view([(f"k{i}", np.uint64) for i in range(hashes.shape[1])]).ravel() if hashes.shape[1] > 1 else hashes[:, 0]
-    distinct, counts = np.unique(keys, return_counts=True)
-    lead = distinct["k0"] if hashes.shape[1] > 1 else distinct
-    bucket = (lead % np.uint64(buckets)).astype(np.int64)
+    """One row for each bucket: the block's distinct hashes there, and which of them it holds twice."""
+    distinct, _, counts = _grouped(hashes)
+    bucket = ((distinct["k0"] if distinct.dtype.names else distinct) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    kind = distinct.dtype.descr if distinct.dtype.names else "<u8"
     for b in np.flatnonzero(np.diff(bounds)).tolist():
         mine = order[bounds[b] : bounds[b + 1]]
-        yield _row(block, b, pickle.dumps((distinct[mine].tobytes(), np.packbits(counts[mine] > 1).tobytes(), distinct.dtype.descr if distinct.dtype.names else "<u8")))
+        yield _row(block, b, pickle.dumps((distinct[mine].tobytes(), np.packbits(counts[mine] > 1).tobytes(), kind)))
 
 
 def _anchor_rows(batches, window: int, buckets: int):
@@ -159,7 +184,7 @@ def _anchor_rows(batches, window: int, buckets: int):
         for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
             words = Words(_unpacked(payload)[0])
             at = words.anchors(window, period, cover)
-            yield from _dealt(number, words.rolling(window - period + 1, at)[:, None], buckets)
+            yield from _dealt(number, words.rolling(window - period + 1, at), buckets)
 
 
 def _met_again(table: pa.Table) -> pa.Table:
@@ -169,7 +194,7 @@ def _met_again(table: pa.Table) -> pa.Table:
         raw, twice, kind = pickle.loads(payload)
         keys = np.frombuffer(raw, np.dtype(kind))
         found.append((keys, np.unpackbits(np.frombuffer(twice, np.uint8), count=len(keys)).astype(bool)))
-    distinct, place, counts = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True, return_counts=True)
+    _, place, counts = _grouped(np.concatenate([k for k, _ in found]))
     again = counts > 1
     out, low = [], 0
     for keys, twice in found:
@@ -191,26 +216,27 @@ def _gathered(table: pa.Table) -> tuple[int, bytes | None, bytes]:
     return table.column("block")[0].as_py(), own, b"".join(back)
 
 
-def _take(block: Block, kept: pa.Table, rows: np.ndarray) -> bytes:
+def _take(block: Block, kept: pa.Table, rows: np.ndarray, starts: bytes = b"") -> bytes:
     lengths = np.diff(block.offsets)[rows]
     raw = memoryview(block.data)
     data = b"".join(raw[block.offsets[r] : block.offsets[r + 1]] for r in rows.tolist())
     part = Block(0, np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
     batch = kept.take(pa.array(rows)).combine_chunks().to_batches()
-    return _packed(part, batch[0] if batch else pa.RecordBatch.from_pylist([], kept.schema))
+    return _packed(part, batch[0] if batch else pa.RecordBatch.from_pylist([], kept.schema), starts)
 
 
-def _extend(table: pa.Table, window: int, buckets: int) -> pa.Table:
-    """A block and its marked anchors: texts without candidates, the others, and their windows' hashes."""
+def _extend(table: pa.Table, window: int) -> pa.Table:
+    """A block and its marked anchors: texts without candidates, and the others with their candidates."""
     number, own, back = _gathered(table)
-    block, kept = _unpacked(own)
+    block, kept, _ = _unpacked(own)
     period, cover = cover_of(window)
     if not back:
         return pa.Table.from_batches([_row(number, -1, own)])
     words = Words(block)
     at = words.anchors(window, period, cover)
-    marked = at[np.isin(words.rolling(window - period + 1, at), np.frombuffer(back, np.uint64))]
-    starts = words.candidates(marked, window, period)
+    marked = at[_among(words.rolling(window - period + 1, at), np.frombuffer(back, np.uint64))]
+    starts = np.zeros(len(words.starts), bool)
+    starts[words.candidates(marked, window, period)] = True
     row_of = np.repeat(np.arange(block.rows), words.counts)
     busy = np.zeros(block.rows, bool)
     busy[row_of[starts]] = True
@@ -218,29 +244,50 @@ def _extend(table: pa.Table, window: int, buckets: int) -> pa.Table:
     if not busy.all():
         out.append(_row(number, -1, _take(block, kept, np.flatnonzero(~busy))))
     if busy.any():
-        out.append(_row(number, -1, _take(block, kept, np.flatnonzero(busy)), True))
-        hashes = np.stack([words.rolling(window, starts, k) for k in (0, 1)], axis=1)
-        out += list(_dealt(number, hashes, buckets))
+        out.append(_row(number, -1, _take(block, kept, np.flatnonzero(busy), np.packbits(starts[busy[row_of]]).tobytes()), True))
     return pa.Table.from_batches(out)
 
 
+#: 96 bits of a window.
+WINDOW = np.dtype([("k0", "<u8"), ("k1", "<u4")])
+
+
+def _window_hashes(words: Words, starts: np.ndarray, window: int) -> np.ndarray:
+    out = np.empty(len(starts), WINDOW)
+    out["k0"] = words.rolling(window, starts)
+    out["k1"] = words.rolling(window, starts, 1) >> np.uint64(32)
+    return out
+
+
+def _candidates(starts: bytes, words: Words) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(starts, np.uint8), count=len(words.starts)))
+
+
+def _window_rows(batches, window: int, buckets: int):
+    for batch in batches:
+        for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+            block, _, starts = _unpacked(payload)
+            words = Words(block)
+            yield from _dealt(number, _window_hashes(words, _candidates(starts, words), window), buckets)
+
+
 def _finish(payload: bytes, back: bytes, window: int, schema: pa.Schema):
-    block, kept = _unpacked(payload)
-    words = Words(block)
-    gone = np.zeros(len(words.starts), bool)
+    block, kept, starts = _unpacked(payload)
     if back:
-        starts = np.flatnonzero(words.room >= window)
-        kind = np.dtype([("k0", np.uint64), ("k1", np.uint64)])
-        hashes = np.ascontiguousarray(np.stack([words.rolling(window, starts, k) for k in (0, 1)], axis=1)).view(kind).ravel()
-        gone = words.covered(starts[np.isin(hashes, np.frombuffer(back, kind))], window)
+        words = Words(block)
+        at = _candidates(starts, words)
+        gone = words.covered(at[_among(_window_hashes(words, at, window), np.frombuffer(back, WINDOW))], window)
+        first, last, counts = words.starts, words.ends, words.counts
+    else:
+        first, last, counts = word_spans(block)
+        gone = np.zeros(len(first), bool)
     stay = ~gone
-    left = slices_of(block.data, words.starts[stay], words.ends[stay])
-    row_of = np.repeat(np.arange(block.rows), words.counts)
+    left = slices_of(block.data, first[stay], last[stay])
+    row_of = np.repeat(np.arange(block.rows), counts)
     sizes = np.bincount(row_of[stay], minlength=block.rows)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), left.cast(pa.string()))
-    text = pc.binary_join(lists, " ")
-    columns = {"kept": text, "n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(words.counts - sizes, pa.int64())}
-    out = [columns[n] if n in columns and i < 3 else kept.column(i - 3) for i, n in enumerate(schema.names)]
+    columns = {"kept": pc.binary_join(lists, " "), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(counts - sizes, pa.int64())}
+    out = [columns[n] if i < 3 else kept.column(i - 3) for i, n in enumerate(schema.names)]
     return pa.Table.from_arrays(out, schema=schema)
 
 
@@ -275,7 +322,7 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packed_bytes // (8 << 20)))
     anchors = packed.mapInArrow(functools.partial(_anchor_rows, window=window, buckets=buckets), BLOCKS_DDL)
     marks = anchors.groupBy("bucket").applyInArrow(_met_again, BLOCKS_DDL)
-    split = stored(packed.unionByName(marks).groupBy("block").applyInArrow(lambda table: _extend(table, window, buckets), BLOCKS_DDL), "substring-candidates")
-    again = split.filter("bucket >= 0").groupBy("bucket").applyInArrow(_met_again, BLOCKS_DDL)
-    busy = split.filter("bucket < 0 and open").unionByName(again).groupBy("block").applyInArrow(lambda table: _finish_open(table, window, schema), result)
-    return split.filter("bucket < 0 and not open").mapInArrow(functools.partial(_finish_closed, window=window, schema=schema), result).unionByName(busy)
+    split = stored(packed.unionByName(marks).groupBy("block").applyInArrow(lambda table: _extend(table, window), BLOCKS_DDL), "substring-candidates")
+    again = split.filter("open").mapInArrow(functools.partial(_window_rows, window=window, buckets=buckets), BLOCKS_DDL).groupBy("bucket").applyInArrow(_met_again, BLOCKS_DDL)
+    busy = split.filter("open").unionByName(again).groupBy("block").applyInArrow(lambda table: _finish_open(table, window, schema), result)
+    return split.filter("not open").mapInArrow(functools.partial(_finish_closed, window=window, schema=schema), result).unionByName(busy)
