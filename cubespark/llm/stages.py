@@ -22,12 +22,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest doc_id."""
+    """One document of each component of op6's near copies: the one with the smallest doc_id. The pipeline takes ``drop_similar``."""
     from . import simhash
 
     return simhash.representatives(reachable(spark) and docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, whose five-word shingles have Jaccard similarity 0.8 or more: the one with the smallest doc_id."""
+    from . import likeness
+
+    return likeness.representatives(reachable(spark) and docs, shingle=5, least=0.8)
+
+
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated passages; n_chars follows, and documents of which nothing is left go."""
     from . import substrings
