@@ -170,10 +170,11 @@ def occupied_chunk_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def world_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies of all pixels, each once by channel: a pixel with another value than its channel's makes a row more."""
     pixels, cube = vector_cube(spark, sf_dir)
     axis = spark.range(cube.length("spectral")).select(F.col("id").cast("int").alias("idx"), (F.lit(1.4e9) + F.col("id") * 1e6).alias("value"))
-    joined = selection.world(pixels.filter("x = 5 and y = 5"), axis, name="frequency")
-    return joined.select("channel", "frequency", selection.linear_world(F.col("channel"), 1.0, 1e6, 1.4e9).alias("linear"))
+    joined = selection.world(pixels, axis, name="frequency")
+    return joined.select("channel", "frequency", selection.linear_world(F.col("channel"), 1.0, 1e6, 1.4e9).alias("linear")).distinct()
 
 
 def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
