@@ -15,7 +15,7 @@ from cubespark.llm.blocks import shared_folder
 STAGES = [
     ("quality_classifier", stages.keep_quality),
     ("simhash_near_dedup", stages.drop_similar),
-    ("substring_dedup", stages.cut_repeated_passages),
+    ("substring_dedup", stages.cut_passages),
     ("best_fit_packing", stages.pack_sequences),
 ]
 

@@ -36,13 +36,26 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated passages; n_chars follows, and documents of which nothing is left go."""
+    """Documents without the words of repeated passages; n_chars follows, and documents of which nothing is left go. The pipeline takes ``cut_passages``."""
     from . import substrings
 
     cut = substrings.cut(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
     return cut.filter("n_words > n_removed").select(*[F.col("kept").alias(c) if c == "text" else F.length("kept").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of repeated passages: where some are cut, n_chars follows, and documents of which nothing is left go; the others stay as they are."""
+    from . import substrings
+
+    lost = "no_text"
+    while lost in docs.columns:
+        lost += "_"
+    marked = docs.withColumn(lost, F.col("text").isNull())
+    cut = substrings.cut(marked, keep=tuple(c for c in marked.columns if c not in ("doc_id", "text")), whole=True).filter("n_removed = 0 or n_words > n_removed")
+    new = {"text": F.when(~F.col(lost), F.col("kept")), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))}
+    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: a row for each piece of a document."""
     from . import packing

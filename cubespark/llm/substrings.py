@@ -271,7 +271,7 @@ def _window_rows(batches, window: int, buckets: int):
             yield from _dealt(number, _window_hashes(words, _candidates(starts, words), window), buckets)
 
 
-def _finish(payload: bytes, back: bytes, window: int, schema: pa.Schema):
+def _finish(payload: bytes, back: bytes, window: int, schema: pa.Schema, whole: bool = False):
     block, kept, starts = _unpacked(payload)
     if back:
         words = Words(block)
@@ -287,26 +287,30 @@ def _finish(payload: bytes, back: bytes, window: int, schema: pa.Schema):
     sizes = np.bincount(row_of[stay], minlength=block.rows)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), left.cast(pa.string()))
     columns = {"kept": pc.binary_join(lists, " "), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(counts - sizes, pa.int64())}
+    if whole:
+        texts = pa.LargeStringArray.from_buffers(block.rows, pa.py_buffer(block.offsets.astype(np.int64)), pa.py_buffer(block.data))
+        columns["kept"] = pc.if_else(pc.equal(columns["n_removed"], 0), texts.cast(pa.string()), columns["kept"])
     out = [columns[n] if i < 3 else kept.column(i - 3) for i, n in enumerate(schema.names)]
     return pa.Table.from_arrays(out, schema=schema)
 
 
-def _finish_closed(batches, window: int, schema: pa.Schema):
+def _finish_closed(batches, window: int, schema: pa.Schema, whole: bool = False):
     for batch in batches:
         for payload in batch.column("payload").to_pylist():
-            yield from _finish(payload, b"", window, schema).combine_chunks().to_batches()
+            yield from _finish(payload, b"", window, schema, whole).combine_chunks().to_batches()
 
 
-def _finish_open(table: pa.Table, window: int, schema: pa.Schema) -> pa.Table:
+def _finish_open(table: pa.Table, window: int, schema: pa.Schema, whole: bool = False) -> pa.Table:
     _, own, back = _gathered(table)
-    return _finish(own, back, window, schema)
+    return _finish(own, back, window, schema, whole)
 
 
-def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, keep: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, keep: tuple[str, ...] = (), buckets: int | None = None, whole: bool = False) -> DataFrame:
     """(kept string, n_words, n_removed, doc_id, *keep): each text's words that no repeated window covers, joined by one space.
 
     buckets: into how many parts hashes are dealt out; by default the shuffle partitions, or more
     so that a part has about 2 million words' anchors.
+    whole: texts that nothing is removed from are kept as they are, not as joined words (null as empty).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -324,5 +328,5 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     marks = anchors.groupBy("bucket").applyInArrow(_met_again, BLOCKS_DDL)
     split = stored(packed.unionByName(marks).groupBy("block").applyInArrow(lambda table: _extend(table, window), BLOCKS_DDL), "substring-candidates")
     again = split.filter("open").mapInArrow(functools.partial(_window_rows, window=window, buckets=buckets), BLOCKS_DDL).groupBy("bucket").applyInArrow(_met_again, BLOCKS_DDL)
-    busy = split.filter("open").unionByName(again).groupBy("block").applyInArrow(lambda table: _finish_open(table, window, schema), result)
-    return split.filter("not open").mapInArrow(functools.partial(_finish_closed, window=window, schema=schema), result).unionByName(busy)
+    busy = split.filter("open").unionByName(again).groupBy("block").applyInArrow(lambda table: _finish_open(table, window, schema, whole), result)
+    return split.filter("not open").mapInArrow(functools.partial(_finish_closed, window=window, schema=schema, whole=whole), result).unionByName(busy)

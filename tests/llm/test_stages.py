@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 from cubespark.llm import likeness, simhash, stages
 
-from test_dedup import LOWER, WORD, brute_classes
+from test_dedup import LOWER, WORD, brute_classes, brute_cut
 
 
 def brute_set(text):
@@ -61,3 +61,18 @@ def test_likeness_of_odd_tables(clashing, empty, spark):
 
 def test_pipeline_takes_the_stage_of_likeness():
     assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"] is stages.drop_similar
+
+
+def test_stage_leaves_uncut_documents_as_they_are(spark, docs, rows):
+    """Rows that nothing is cut from keep text and n_chars, null, empty and blank ones too."""
+    stage = dict(corpus_pipeline.STAGES)["substring_dedup"]
+    marked = [(i, t, lang, source, n + 1000) for i, t, lang, source, n in rows]
+    found = {r.doc_id: r for r in stage(spark, spark.createDataFrame(marked, docs.schema).repartition(3), "").collect()}
+    want = {}
+    for (i, t, lang, source, n), (kept, n_words, n_removed) in zip(marked, brute_cut([t for _, t, *_ in rows], 35)):
+        if not n_removed:
+            want[i] = (i, t, lang, source, n)
+        elif n_words > n_removed:
+            want[i] = (i, kept, lang, source, len(kept))
+    assert {i: tuple(r) for i, r in found.items()} == want
+    assert want[0][1] is None and want[1][1] == "" and want[2][1] == " \t\n" and any(w[1] and "\n" in w[1].strip() for w in want.values())
