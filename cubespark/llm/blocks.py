@@ -105,12 +105,18 @@ def as_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is missing (tests on one machine) is a folder of this machine set.
+    Where the setting is missing, a folder of this machine is taken if Spark runs on this machine
+    alone (tests); on a cluster it raises, since a folder there is another one on every machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else "file:///tmp/checkpoints"
+        if found.isDefined():
+            root = found.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            root = "file:///tmp/checkpoints"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -122,10 +128,20 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def stored_by(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
-    """As ``stored``, bucketed by a key: what is grouped by it later is read in place and not shuffled."""
+    """As ``stored``, bucketed by a key: what is grouped by it later is read in place and not shuffled.
+
+    Only a table keeps its buckets; its name is taken out of the catalog again once it is resolved, the files stay.
+    """
     spark, name = df.sparkSession, f"{what.replace('-', '_')}_{uuid.uuid4().hex}"
     df.write.option("path", shared_folder(spark, what)).bucketBy(buckets, key).saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... by place: free of clashes with what an operator adds."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def renamed(df: DataFrame, *wanted: str) -> DataFrame:
@@ -139,5 +155,5 @@ def renamed(df: DataFrame, *wanted: str) -> DataFrame:
         if name not in names:
             raise ValueError(f"column {name!r} is missing; found {names}")
         chosen.append(names.index(name))
-    unique = df.toDF(*[f"c{i}" for i in range(len(names))])
+    unique = numbered(df)
     return unique.select(*[unique[f"c{i}"].alias(name) for i, name in zip(chosen, wanted)])

@@ -1,20 +1,29 @@
-"""Near copies by the Jaccard similarity of shingle sets: candidates by MinHash bands, each checked exactly.
+"""Near copies by SimHash links and MinHash bands, each link checked by the Jaccard similarity of whole shingle sets.
 
 Sets: the shingles of ``shingle`` words that ``simhash`` takes (A-Z lower-cased; a
 text with fewer words has its whole sequence as the one shingle), as 64-bit hashes.
 Equal sets are one *node*, whatever the number of copies; texts without words share
 the empty set.
 
-Candidates: 128 minima make 32 bands of 4.  Two sets of similarity s share no band
-with probability (1 - s^4)^32: 5e-8 at 0.8, less above.  Only sets that share a band
-with another are made again and sent to its bucket.  There a set is compared with
-those that hold one of its rarest shingles (sets of similarity ``least`` or more must
-share one of those), and a set that is already joined to the bucket's component is not
-compared again, so that a large group of near copies costs no row for each of its
-pairs.  A link is a pair whose Jaccard similarity, counted on the whole sets, is
-``least`` or more; components of links by alternating stars.
-
-Null doc_ids have a row and join others like any; repeated rows each have a row.
+Candidates come in *buckets*.  The classes of SimHash fingerprints over the same
+shingles (``simhash.near_links``: BK-trees, ``radius`` bits) are one kind.  They alone
+cannot give right results: two sets of similarity 0.8 are about 10 of 64 bits apart, and
+no search for so many bits stays near linear.  So the bands of MinHash signatures are the
+other kind: 128 minima make 32 bands of 4, and two sets of similarity s share no band with
+probability (1 - s^4)^32, 5e-8 at 0.8, less above.  Of buckets with the very same members
+one is kept.
+
+In a bucket a set is compared with those that hold one of its rarest shingles (sets of
+similarity ``least`` or more must share one of those), and a set that is already joined to
+the bucket's component is not compared again, so that a large group of near copies costs no
+row for each of its pairs.  A bucket of more than ``MOST`` sets is cut in slots by hash, and
+every two slots meet in a task of their own: no task holds more than two slots of a bucket,
+and no pair is left out.  A link is a pair whose Jaccard similarity, counted on the whole
+sets, is ``least`` or more; components of links by alternating stars.
+
+Null doc_ids have a row and join others like any; repeated rows each have a row; very long
+texts are sets of all their shingles; a similarity of just ``least`` links; an empty table
+gives an empty table; other columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, as_rows, blocks_of, ragged, renamed, stored
+from .blocks import Block, as_rows, blocks_of, numbered, ragged, stored
 from .components import components
-from .simhash import LINKS, Forest
+from .simhash import LINKS, Forest, block_prints, near_links
 from .substrings import Words
 
 BANDS, DEPTH = 32, 4
@@ -39,8 +48,10 @@ MASKS = _RANDOM.integers(0, 1 << 32, BANDS * DEPTH, dtype=np.uint32)
 FACTORS = _RANDOM.integers(0, 1 << 32, BANDS * DEPTH, dtype=np.uint32) | np.uint32(1)
 SALTS = _RANDOM.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
-SIGNS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-MET = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("key", pa.int64())])
+#: Sets of a bucket that one task may hold, and rows (a set in a bucket) that a task is dealt, about.
+MOST, DEALT = 4096, 40_000
+
+SIGNS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("print", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
 
@@ -85,7 +96,7 @@ def _signs(batches, shingle: int):
             keys = band_keys(bounds, hashes)
             offsets = np.concatenate([[0], np.cumsum((np.diff(bounds) > 0) * BANDS)]).astype(np.int32)
             own = batch.slice(block.first, block.rows)
-            yield as_rows(SIGNS, key=own.column(0), doc_id=own.column(1), node=_nodes(bounds, hashes), bands=pa.ListArray.from_arrays(offsets, keys.ravel().view(np.int64)))
+            yield as_rows(SIGNS, key=own.column(0), doc_id=own.column(1), node=_nodes(bounds, hashes), print=block_prints(block, shingle).view(np.int64), bands=pa.ListArray.from_arrays(offsets, keys.ravel().view(np.int64)))
 
 
 def _sets(batches, shingle: int):
@@ -96,19 +107,6 @@ def _sets(batches, shingle: int):
             yield as_rows(SETS, node=_nodes(bounds, hashes), shingles=pa.array([raw[a:b] for a, b in zip(at, at[1:])], pa.binary()))
 
 
-def _met(batches):
-    """The rows whose bucket has another node."""
-    got = [[b.column(n).to_numpy() for n in MET.names] for b in batches]
-    if not got:
-        return
-    bucket, node, key = (np.concatenate(x) for x in zip(*got))
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    same = bucket[1:] == bucket[:-1]
-    kept = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    yield as_rows(MET, bucket=bucket[kept], node=node[order][kept], key=key[order][kept])
-
-
 def joined(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Pairs of similarity ``least`` or more that join the same sets as all such pairs do."""
     sizes = np.array([len(s) for s in sets])
@@ -149,55 +147,67 @@ def joined(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 
 
 def _links(batches, least: float):
-    buckets, nodes, sets = [], [], {}
+    """Links of every bucket (or two slots of one) that the task is dealt; they lie side by side."""
+    held, sets, now = [], [], None
+
+    def found():
+        distinct, first = np.unique(np.array(held, np.int64), return_index=True)
+        pairs = joined([np.frombuffer(sets[i], np.uint64) for i in first.tolist()], least) if len(distinct) > 1 else []
+        return as_rows(LINKS, a=distinct[[x for x, _ in pairs]], b=distinct[[y for _, y in pairs]]) if pairs else None
+
     for batch in batches:
-        buckets.append(batch.column(0).to_numpy())
-        nodes.append(batch.column(1).to_numpy())
-        for node, raw in zip(nodes[-1].tolist(), batch.column(2)):
-            if node not in sets:
-                sets[node] = np.frombuffer(raw.as_py(), np.uint64)
-    if not buckets:
-        return
-    bucket = np.concatenate(buckets)
-    distinct, name = np.unique(np.concatenate(nodes), return_inverse=True)
-    sets = [sets[n] for n in distinct.tolist()]
-    order = np.argsort(bucket, kind="stable")
-    bucket, name = bucket[order], name[order]
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
-    forest = Forest(len(distinct))
-    for a, b in zip(edges, edges[1:]):
-        here = np.unique(name[a:b])
-        if (forest.label[here] != forest.label[here[0]]).any():
-            pairs = joined([sets[i] for i in here.tolist()], least)
-            if pairs:
-                forest.join(here[[x for x, _ in pairs]], here[[y for _, y in pairs]])
-    tied = np.flatnonzero(forest.label != np.arange(len(distinct)))
-    yield as_rows(LINKS, a=distinct[tied], b=distinct[forest.label[tied]])
-
-
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+        columns = [batch.column(n).to_pylist() for n in ("bucket", "left", "right", "node", "shingles")]
+        for *at, node, shingles in zip(*columns):
+            if at != now:
+                if held and (links := found()) is not None:
+                    yield links
+                held, sets, now = [], [], at
+            held.append(node)
+            sets.append(shingles)
+    if held and (links := found()) is not None:
+        yield links
+
+
+def buckets_of(nodes: DataFrame, radius: int) -> DataFrame:
+    """(bucket, left, right, node): of all buckets of two nodes or more one for each set of members, large ones as pairs of slots."""
+    roots = components(near_links(nodes.select("print").distinct(), radius), "print-links")
+    classed = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").select("node", F.xxhash64(F.lit("class"), F.coalesce("root", "print")).alias("bucket"))
+    every = nodes.select("node", F.explode("bands").alias("bucket")).unionByName(classed)
+    told = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("n > 1")
+    kept = told.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    met = every.join(kept, "bucket")
+    slots = F.ceil(F.col("n") / MOST).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(2)), slots).cast("int")
+    dealt = met.select("bucket", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
+    return dealt.select("bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "node")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """The rows of docs, one of each component: that with its least doc_id.
 
-    Of repeated rows with that doc_id one stays; rows without a doc_id all stay, since no component can name them.
+    Of rows that repeat that doc_id and its text one stays (any, if they differ elsewhere); rows that
+    repeat the doc_id with another text are judged by their own text.  Rows without a doc_id all
+    stay, since no component can name them.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    row = "row_key"
-    while row in docs.columns:
-        row += "_"
-    key = F.xxhash64(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
-    source = renamed(docs, doc_id, text).select(key.alias("key"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signs = source.mapInArrow(functools.partial(_signs, shingle=shingle), "key bigint, doc_id bigint, node bigint, bands array<bigint>")
+    spark, names = docs.sparkSession, docs.columns
+    at, words = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    plain = numbered(docs).withColumn("key", F.xxhash64(F.col(words).cast("string"))).withColumn("id", F.col(at).cast("bigint"))
+    source = plain.select("key", F.col("id").alias("doc_id"), F.col(words).cast("string").alias("text"))
+    signs = source.mapInArrow(functools.partial(_signs, shingle=shingle), "key bigint, doc_id bigint, node bigint, print bigint, bands array<bigint>")
     # A node's first row: that with the least doc_id, one without a doc_id only if it has no other.
     first = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")
-    nodes = stored(signs.groupBy("node").agg(F.min(first).alias("first"), F.any_value("bands").alias("bands")), "nodes")
-    buckets = nodes.select(F.explode("bands").alias("bucket"), "node", F.col("first.key").alias("key"))
-    met = stored(buckets.repartition(n, "bucket").mapInArrow(_met, "bucket bigint, node bigint, key bigint"), "met")
-    texts = source.join(met.select("key").distinct(), "key", "left_semi").select("text")
-    sets = texts.mapInArrow(functools.partial(_sets, shingle=shingle), "node bigint, shingles binary")
-    sent = met.select("bucket", "node").join(sets.dropDuplicates(["node"]), "node").select("bucket", "node", "shingles")
-    links = sent.repartition(n, "bucket").mapInArrow(functools.partial(_links, least=least), "a bigint, b bigint")
+    nodes = stored(signs.groupBy("node").agg(F.min(first).alias("first"), F.any_value("print").alias("print"), F.any_value("bands").alias("bands")), "nodes")
+    met = stored(buckets_of(nodes, radius), "met")
+    asked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("first.key", "first.doc_id")
+    texts = source.join(asked, (source["key"] == asked["key"]) & source["doc_id"].eqNullSafe(asked["doc_id"]), "left_semi").select("text")
+    sets = texts.mapInArrow(functools.partial(_sets, shingle=shingle), "node bigint, shingles binary").dropDuplicates(["node"])
+    sent = met.join(sets, "node").select("bucket", "left", "right", "node", "shingles")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met.count() // DEALT))
+    dealt = sent.repartition(tasks, "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+    links = dealt.mapInArrow(functools.partial(_links, least=least), "a bigint, b bigint")
     roots = components(links, "likeness-links")
     rooted = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).filter("not first.lost").select(F.col("first.key").alias(row))
-    kept = docs.withColumn(row, key).join(chosen, row, "left_semi").filter(F.col(doc_id).isNotNull()).dropDuplicates([row])
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).filter("not first.lost").select("first.key", F.col("first.doc_id").alias("id"))
+    kept = plain.join(chosen, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    own = [f"c{i}" for i in range(len(names))]
+    return kept.select(*own).unionByName(plain.filter("id is null").select(*own)).toDF(*names)

@@ -4,8 +4,9 @@ Every whole text gives a row of statistics (shares of kinds of characters and
 words, lengths, repetition), made roughly normal by logarithms.  For each class
 the model has a mean and a covariance that is shrunk towards the pooled one and
 towards its own mean variance; a score is the difference of the two Gaussian
-log-densities plus that of the prior shares, each from the Mahalanobis distance
-by the cached Cholesky factor.
+log-densities, each from the Mahalanobis distance by the cached Cholesky factor, less an
+offset.  The offset stands in the place of the log of the prior shares: it is the cut with the
+fewest errors on the rows learnt from, since labels need not have the shares of the corpus.
 
 The fit takes at most ``max_rows`` labelled rows (those with the least hashes of
 their doc_id: a fixed choice, not one by order); everything else covers all rows.
@@ -15,6 +16,8 @@ Inputs of a score are the text's statistics alone.
 Null texts count as empty; an empty text has a score as any other; null doc_ids
 are not held out; repeated rows are scored alike; labels that are null or of
 unknown documents count for nothing; without rows of both classes the fit raises.
+Very long texts are measured in full; a score of exactly 0.5 predicts 1; an empty
+table gives an empty table; columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .blocks import Block, as_rows, blocks_of, renamed, slices_of, word_spans
+from .blocks import Block, as_rows, blocks_of, numbered, renamed, slices_of, word_spans
 
 FEATURES = ("words", "word_bytes", "upper", "digits", "points", "commas", "marks", "symbols", "pipes", "high", "lines", "distinct_words", "repeated_lines", "capital_words", "odd_ends", "short_words", "line_bytes", "pairs", "same_bytes", "links")
 
@@ -196,14 +199,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return discriminant(x, found.column("quality").to_numpy(), **how)
 
 
-def score(docs: DataFrame, model: Discriminant, text: str = "text") -> DataFrame:
-    """docs with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 if score >= 0.5, else 0); columns of those names are replaced."""
+def score(docs: DataFrame, model: Discriminant, text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with a score (0 to 1, higher: label 1 likelier) and a prediction (1 if it is 0.5 or more, else 0) under the names given.
+
+    Columns of docs that bear those names are replaced.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.drop("score", "predicted")
+    names = docs.columns
+    plain = numbered(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    result = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    schema, at = to_arrow_schema(result), docs.columns.index(text)
+    result = StructType([*plain.schema.fields, StructField("score", DoubleType())])
+    schema, at = to_arrow_schema(result), names.index(text)
 
     def scored(batches):
         for batch in batches:
@@ -211,4 +218,6 @@ def score(docs: DataFrame, model: Discriminant, text: str = "text") -> DataFrame
                 rows = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shared.value.score(statistics(block)))], schema=schema)
 
-    return docs.mapInArrow(scored, result).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    found = plain.mapInArrow(scored, result)
+    kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in (score, predicted)]
+    return found.select(*kept, F.col("score").alias(score), (F.col("score") >= 0.5).cast("int").alias(predicted))

@@ -21,7 +21,10 @@ Equal fingerprints are one node, whatever the number of copies.
 
 Null texts have no words; documents without words share fingerprint zero and
 are linked like any other; null doc_ids have a row, and their component is the
-least doc_id reachable, null if there is none; repeated rows each have a row.
+least doc_id reachable, null if there is none; repeated rows each have a row (equal
+doc_ids with unlike texts are fingerprints of their own, and their classes may differ).
+Very long texts are read in full, in chunks of hashes; ties of a bit (half the hashes)
+count as 0; an empty table gives an empty table; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Shingles whose bits are counted at a time, and search steps held at a time.
 CHUNK, FRONTIER = 1 << 18, 1 << 21
+#: Rows (a fingerprint in a shard, 16 bytes) that one task is dealt, about.
+DEALT = 2_000_000
 
 
 def block_prints(block, shingle: int = 3) -> np.ndarray:
@@ -190,15 +195,17 @@ def near_links(prints: DataFrame, radius: int = 3, pieces: int | None = None) ->
     """(a, b): links that join the same fingerprints as all pairs within the radius; prints: one column of distinct fingerprints.
 
     pieces: by default radius + 1, more once there are many fingerprints, so that shards stay small.
+    A task holds the shards that it is dealt, about ``DEALT`` rows: tasks grow in number with the fingerprints.
     """
     spark = prints.sparkSession
+    many = prints.count()
     if pieces is None:
-        many = prints.count()
         pieces = radius + 1 + (many > 1 << 23) + (many > 1 << 30)
     masks = shard_masks(radius, pieces)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many * len(masks) // DEALT))
     shards = F.array(*[F.xxhash64(F.lit(i), F.col("print").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint"))) for i, m in enumerate(masks)])
     rows = prints.select("print", F.explode(shards).alias("shard"))
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").mapInArrow(functools.partial(_shard_links, radius=radius), "a bigint, b bigint")
+    return rows.repartition(tasks, "shard").mapInArrow(functools.partial(_shard_links, radius=radius), "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, pieces: int | None = None) -> DataFrame:
@@ -212,12 +219,3 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     named = rooted.join(least, "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", "print", "component_id")
 
-
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs, one of each class: that with the class's least doc_id.
-
-    Of repeated rows with that doc_id one stays; rows without a doc_id all stay, since no class can name them.
-    """
-    chosen = classes(docs, doc_id, text, **how).groupBy("component_id").agg(F.min("doc_id").alias(doc_id)).select(doc_id).dropna()
-    kept = docs.join(chosen, doc_id, "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull())).select(*docs.columns)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cubespark.llm import components, quality, simhash, stages, substrings
+from cubespark.llm import components, quality, simhash, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -49,8 +49,18 @@ def test_simhash_classes(docs, rows):
 def test_simhash_odd_tables(clashing, empty):
     found = simhash.classes(clashing).collect()
     assert Counter((r.doc_id, r.component_id) for r in found) == {(None, 7): 1, (7, 7): 2, (8, 8): 1}
-    assert simhash.classes(empty).count() == 0 and simhash.representatives(empty).count() == 0
-    assert Counter(r.doc_id for r in simhash.representatives(clashing).collect()) == {None: 1, 7: 1, 8: 1}
+    assert simhash.classes(empty).count() == 0
+
+
+def test_simhash_of_a_very_long_text(spark, monkeypatch):
+    """More hashes than are counted at a time, among short texts."""
+    monkeypatch.setattr(simhash, "CHUNK", 1000)
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(900)}" for _ in range(n)) for n in (3, 20_000, 0, 7)]
+    import pyarrow as pa
+
+    found = np.concatenate([simhash.block_prints(b) for b in simhash.blocks_of(pa.array(texts))])
+    assert found.tolist() == [brute_print(t) for t in texts]
 
 
 @pytest.mark.parametrize("pieces", [4, 5, 6])
@@ -175,16 +185,3 @@ def test_discriminant_is_the_gaussian_one():
         d = z[:5] - model.means[k]
         assert np.allclose((d @ precision * d).sum(axis=1), ((d @ model.factors[k].T) ** 2).sum(axis=1))
     assert ((model.score(x) >= 0.5) == y).mean() > 0.95
-
-
-def test_stages(spark, docs, rows):
-    """Near copies and repeated passages by the stages as by brute force."""
-    roots = brute_classes([brute_print(t) for _, t, *_ in rows], lambda a, b: (a ^ b).bit_count() <= 3)
-    kept = stages.drop_near_copies(spark, docs, "")
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
-    cut = stages.cut_repeated_passages(spark, docs, "")
-    want = {i: w[0] for (i, *_), w in zip(rows, brute_cut([t for _, t, *_ in rows], 35)) if w[1] > w[2]}
-    assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()} == want
-    assert all(r.n_chars == len(r.text) for r in cut.collect())
-
-
