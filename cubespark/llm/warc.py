@@ -13,8 +13,10 @@ headers tell the digest and length of the full one.
 
 Null payloads count as empty; records without a key are revisits where a keyed
 record has the same payload, else responses; rows that repeat the smallest key are
-all responses; null or odd URIs are escaped; an empty table gives no archive and
-no rows; extra columns stay out.
+all responses; null or odd URIs are escaped; very long payloads are one record like
+any other (a record is held whole, an archive never); an empty table gives no archive
+and no rows; extra columns stay out.  An archive that is cut off, at the edge of a
+record or inside one, or that holds another number of records than were written, raises.
 """
 
 from __future__ import annotations
@@ -97,14 +99,20 @@ def records_of(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(file) -> Iterator[bytes]:
-    """A gzip file, of one member or many, piece by piece."""
-    z = zlib.decompressobj(31)
+    """A gzip file, of one member or many, in pieces of at most ``PIECE`` bytes; a file that ends inside a member raises."""
+    z, begun = zlib.decompressobj(31), False
     while piece := file.read(PIECE):
         while piece:
-            yield z.decompress(piece)
-            piece = b""
+            begun = True
+            if out := z.decompress(piece, PIECE):
+                yield out
+            piece = z.unconsumed_tail
             if z.eof:
-                piece, z = z.unused_data, zlib.decompressobj(31)
+                piece, z, begun = z.unused_data, zlib.decompressobj(31), False
+    while begun and (out := z.decompress(b"", PIECE)):
+        yield out
+    if begun and not z.eof:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def member(record: bytes) -> bytes:
@@ -163,8 +171,10 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     def rewritten(batches):
         system, root = _open(folder)
         for batch in batches:
-            for name in batch.column("archive").to_pylist():
+            for name, wanted in zip(batch.column("archive").to_pylist(), batch.column("records").to_pylist()):
                 fresh, n = _normalised(system, root, name)
+                if n != wanted:
+                    raise ValueError(f"{name} has {n} records, {wanted} were written")
                 yield as_rows(ARCHIVES, archive=[fresh], records=[n])
 
     n = max(1, min(archives.count(), 4 * archives.sparkSession.sparkContext.defaultParallelism))
@@ -214,7 +224,9 @@ def records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: s
     """Rows for ``write``: digests, and which records revisit which."""
     rows = renamed(pages, key, uri, payload).select(F.col(key).cast("bigint").alias("key"), F.col(uri).cast("string").alias("uri"), F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("long_digest", F.when(F.octet_length("payload") >= least_bytes, F.col("digest")))
-    first = rows.filter("long_digest is not null").groupBy("long_digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Short payloads meet nothing: each has a join key of its own, so that they do not gather where a null would be sent.
+    rows = rows.withColumn("long_digest", F.coalesce("long_digest", F.concat(F.lit("short "), F.xxhash64("key", "uri", "digest").cast("string"))))
+    first = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("long_digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     joined = rows.join(first, "long_digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     return joined.select("key", "uri", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))

@@ -240,6 +240,31 @@ def test_members_and_sidecar(pages, spark, tmp_path):
     assert b"\nInjected" not in b"".join(raw.split(b"\r\n\r\n")[0] for _, raw in places) and urlparse(folder).path == str(tmp_path)
 
 
+def test_cut_archives_raise(spark, tmp_path):
+    """Streams cut inside a record, at the edge of one behind a flush, or short of a whole record: none is read in silence."""
+    records = [warc.record_bytes(i, "http://a/", b"x" * 50, hashlib.sha256(b"x" * 50).hexdigest(), None, False) for i in range(50)]
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    half = z.compress(b"".join(records[:25])) + z.flush(zlib.Z_FULL_FLUSH)
+    whole = half + z.compress(b"".join(records[25:])) + z.flush()
+    members = b"".join(map(gzip.compress, records))
+    for name, raw, n in (("whole", whole, 50), ("members", members, 50)):
+        (tmp_path / name).write_bytes(raw)
+        frame = spark.createDataFrame([(name, n)], "archive string, records bigint")
+        assert warc.read(warc.normalise(frame, f"file://{tmp_path}"), f"file://{tmp_path}").count() == 50
+    for name, raw, n, why in (("edge", half, 50, "inside a gzip member"), ("inside", whole[:-300], 50, "inside a"), ("fewer", gzip.compress(b"".join(records[:25])), 50, "25 records"), ("record", gzip.compress(records[0][:-9]), 1, "inside a record")):
+        (tmp_path / name).write_bytes(raw)
+        with pytest.raises(Exception, match=why):
+            warc.normalise(spark.createDataFrame([(name, n)], "archive string, records bigint"), f"file://{tmp_path}")
+
+
+def test_inflation_is_bounded():
+    """A small file of one long run of zeros comes in pieces of bounded size."""
+    import io
+
+    sizes = [len(x) for x in warc.inflated(io.BytesIO(gzip.compress(bytes(50 << 20)) * 2))]
+    assert sum(sizes) == 100 << 20 and max(sizes) <= warc.PIECE
+
+
 def test_warc_odd_tables(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
     twice = spark.createDataFrame([(1, "u", "a" * 200, "")] * 2, PAGES)
