@@ -150,13 +150,9 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def split_block(block: Block, special: tuple[bytes, ...]) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The pre-tokens of a block as a dictionary-coded array, and how many each row has.
-
-    Special strings are words of their own, as the tokenizers library takes them by default.
-    """
-    edges, inner = block.offsets, None
-    raw = None
+def special_edges(block: Block, special: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray | None]:
+    """(where texts and special strings start and end, in order; the bytes inside special strings, or None)."""
+    edges, inner, raw = [block.offsets], [], None
     for s in special:
         raw = block.data.tobytes() if raw is None else raw
         at, found = raw.find(s), []
@@ -169,9 +165,18 @@ def split_block(block: Block, special: tuple[bytes, ...]) -> tuple[pa.Dictionary
                 at = raw.find(s, at + 1)
         if found:
             spans = np.array(found)[:, None] + np.arange(len(s))
-            inner = np.concatenate([x for x in (inner, spans[:, 1:].ravel()) if x is not None])
-            edges = np.concatenate([edges, spans[:, 0], spans[:, -1] + 1])
-    starts = pretoken_starts(block.data, np.unique(edges))
+            inner.append(spans[:, 1:].ravel())
+            edges += [spans[:, 0], spans[:, -1] + 1]
+    return np.unique(np.concatenate(edges)), np.concatenate(inner) if inner else None
+
+
+def split_block(block: Block, special: tuple[bytes, ...]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pre-tokens of a block as a dictionary-coded array, and how many each row has.
+
+    Special strings are words of their own, as the tokenizers library takes them by default.
+    """
+    edges, inner = special_edges(block, special)
+    starts = pretoken_starts(block.data, edges)
     if inner is not None:
         starts = starts[~np.isin(starts, inner)]
     bounds = np.append(starts, len(block.data)).astype(np.int32)

@@ -21,32 +21,49 @@ A state has two parts.
 States are made when first entered and remembered (as lazily determinised
 automata do); beyond ``remember`` of them the table starts anew.
 
-Long texts are cut in chunks.  A chunk's *state map* says where each entry
-state leads: after the chunk's first white space that follows a
-non-space character every entry state leads to the same state, so the map is
-the few characters before that point (its head), the count behind it and the
-exit state.  Maps compose associatively; a prefix scan by halves gives the map
-of the text, and its value at the initial state is the count.
-
-Null texts count as empty: no bytes, no tokens.  Repeated rows repeat their
-counts; null doc_ids stay; empty tables give empty tables; extra columns stay out.
+Some characters are *resets*: white space behind another kind of character, and a number or
+sign behind a letter.  Behind them every state is the same one, whatever was before, so a text
+falls into segments that count alike wherever they stand.  A block of texts is cut at its
+resets by array operations, and each distinct segment runs through the transducer once.
+
+Texts of more than ``chunk`` characters are cut in chunks, which are dealt out to tasks as rows
+of their own.  A chunk's *state map* says where each entry state leads: it is the characters up
+to the chunk's first reset (its head), the count behind that and the exit state.  Maps compose
+associatively; a prefix scan by halves over a text's maps, which are few and small, gives the
+map of every prefix, and the last one's value at the initial state is the count.  A chunk
+without a reset is all head: such texts are read in the task that composes them.
+
+Null texts count as empty: no bytes, no tokens.  Repeated rows repeat their counts; null
+doc_ids stay; very long texts are counted in full; empty tables give empty tables; extra columns
+stay out.
 """
 
 from __future__ import annotations
 
 import bisect
 import functools
+import pickle
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import as_rows, renamed
-from .pretokens import LETTER, LONG, NUMBER, OTHER, SHORT, SPACE, ByteBpe, byte_bpe, class_table
+from .blocks import Block, as_rows, blocks_of, renamed, stored
+from .pretokens import LETTER, LONG, NUMBER, OTHER, SHORT, SPACE, ByteBpe, byte_bpe, byte_classes, class_table, special_edges
 
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-CHUNK = 1 << 16
+COUNTS_DDL = "doc_id bigint, n_bytes bigint, n_tokens bigint"
+#: A document that is counted (row is null), or a chunk of a long one; n_tokens of a chunk: special strings before it.
+CUT = pa.schema([*COUNTS, ("row", pa.int64()), ("segment", pa.int64()), ("part", pa.int64()), ("piece", pa.string())])
+CUT_DDL = f"{COUNTS_DDL}, row bigint, segment bigint, part bigint, piece string"
+MAPS = pa.schema([*list(CUT)[:6], ("head", pa.string()), ("added", pa.int64()), ("out", pa.binary())])
+MAPS_DDL = f"{COUNTS_DDL}, row bigint, segment bigint, part bigint, head string, added bigint, out binary"
+#: Characters of a chunk; texts up to one chunk are counted where they are read.
+CHUNK = 1 << 14
 #: Nodes with at most so many pieces below them look through those for what tells left neighbours apart.
 NARROW = 80
 
@@ -204,7 +221,8 @@ class CountTransducer:
     def __init__(self, bpe: ByteBpe, remember: int = 120_000):
         self.merging = MergeAutomaton(bpe)
         self.special = {k.decode(): v for k, v in bpe.special.items()}
-        self.remember, self.states = remember, {}
+        self.special_bytes = tuple(bpe.special)
+        self.remember, self.states, self.known = remember, {}, {}
         self.initial = (FRESH, 0, (), "")
         self.kinds = class_table()
 
@@ -274,32 +292,52 @@ class CountTransducer:
             total += added
         return total, state.key
 
-    def count(self, text: str, chunk: int = CHUNK) -> int:
-        """Tokens of a whole text; special strings in it are one token each and end what stands before."""
-        total, rest = 0, [text]
+    def of_segment(self, segment: bytes) -> int:
+        """Tokens of a segment (or of a special string)."""
+        found = self.known.get(segment)
+        if found is None:
+            if len(self.known) >= self.remember:
+                self.known.clear()
+            found = self.known[segment] = 1 if segment in self.special_bytes else self.run(self.initial, segment.decode())[0]
+        return found
+
+    def block_counts(self, block: Block) -> np.ndarray:
+        """Tokens of every row of a block: each distinct segment is run once."""
+        edges, inner = special_edges(block, self.special_bytes)
+        starts = segment_starts(block.data, edges)
+        if inner is not None:
+            starts = starts[~np.isin(starts, inner)]
+        bounds = np.append(starts, len(block.data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(block.data))]).dictionary_encode()
+        tokens = np.fromiter(map(self.of_segment, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        total = np.concatenate([[0], np.cumsum(tokens[words.indices.to_numpy()])])
+        at = np.searchsorted(starts, block.offsets)
+        return total[at[1:]] - total[at[:-1]]
+
+    def parts(self, text: str) -> list[str]:
+        """The text between special strings."""
+        rest = [text]
         for s in self.special:
-            pieces = [p.split(s) for p in rest]
-            total += sum(len(p) - 1 for p in pieces)
-            rest = [x for p in pieces for x in p]
-        for part in rest:
-            if len(part) <= chunk:
-                total += self.run(self.initial, part)[0]
-            else:
-                total += self.value(self.scan([self.chunk_map(part[i : i + chunk]) for i in range(0, len(part), chunk)]))
-        return total
+            rest = [x for p in rest for x in p.split(s)]
+        return rest
+
+    def count(self, text: str, chunk: int = CHUNK) -> int:
+        """Tokens of a whole text by the maps of its chunks; special strings in it are one token each and end what stands before."""
+        parts = self.parts(text)
+        return len(parts) - 1 + sum(self.value(self.scan([self.chunk_map(p[i : i + chunk]) for i in range(0, len(p), chunk)])[-1]) for p in parts if p)
 
     def chunk_map(self, text: str) -> ChunkMap:
-        """The state map of a chunk."""
-        kinds = self.kinds
-        before = 0
-        for i, char in enumerate(text):
-            kind = kinds[ord(char)]
-            if kind == SPACE and before and before != SPACE:
-                key = self.move(self.initial, char)[0]  # white space after something else starts anew whatever was before
-                added, out = self.run(key, text[i + 1 :])
-                return ChunkMap(text[: i + 1], added, out)
-            before = kind
-        return ChunkMap(text, 0, None)
+        """The state map of a chunk without special strings."""
+        raw = text.encode()
+        data = np.frombuffer(raw, np.uint8)
+        starts = segment_starts(data, np.array([0, len(raw)]))[1:].tolist()
+        if not starts:
+            return ChunkMap(text, 0, None)
+        segments = [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
+        char = segments[0].decode()[0]  # the reset is read with the head, whatever the entry state
+        counted = sum(map(self.of_segment, segments[:-1]))
+        added, out = self.run(self.initial, segments[-1].decode())
+        return ChunkMap(raw[: starts[0]].decode() + char, counted + added - self.move(self.initial, char)[1], out)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """First a, then b."""
@@ -308,12 +346,12 @@ class CountTransducer:
         added, out = self.run(a.out, b.head)
         return ChunkMap(a.head, a.added + added + b.added, b.out or out)
 
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
-        """The composition of all maps, by halves."""
-        while len(maps) > 1:
-            pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])]
-            maps = pairs + maps[len(pairs) * 2 :]
-        return maps[0]
+    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
+        """The composition of every prefix: neighbours are composed, the scan of the pairs gives every second prefix, one step more the others."""
+        if len(maps) < 2:
+            return maps
+        pairs = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])])
+        return [maps[0], *(pairs[i // 2] if i % 2 else self.compose(pairs[i // 2 - 1], maps[i]) for i in range(1, len(maps)))]
 
     def value(self, m: ChunkMap) -> int:
         return self.run(self.initial, m.head)[0] + m.added
@@ -333,16 +371,64 @@ def transducer(path: str) -> CountTransducer:
     return CountTransducer(byte_bpe(path))
 
 
-def _counted(batches, path: str):
+def segment_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Byte offsets of resets and of the starts of texts; edges: where texts start, in order, and the end of the last."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = byte_classes(data)
+    starts = np.zeros(n + 1, bool)
+    before, now = kind[:-1], kind[1:]
+    starts[1:n] = (now == SPACE) & (before != SPACE) | (before == LETTER) & ((now == NUMBER) | (now == OTHER))
+    starts[edges] = True
+    return np.flatnonzero(starts[:n])
+
+
+def _cut(batches, path: str, chunk: int):
+    """Short texts with their counts; of long ones the chunks."""
+    machine, number = transducer(path), TaskContext.get().partitionId() << 32
+    for batch in batches:
+        doc_ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+        long = pc.greater(pc.utf8_length(texts), chunk).to_numpy(zero_copy_only=False)
+        short = pa.array(np.flatnonzero(~long))
+        ids = doc_ids.take(short)
+        for block in blocks_of(texts.take(short)):
+            n = block.rows
+            none = pa.nulls(n, pa.int64())
+            yield as_rows(CUT, doc_id=ids.slice(block.first, n), n_bytes=np.diff(block.offsets), n_tokens=machine.block_counts(block), row=none, segment=none, part=none, piece=pa.nulls(n, pa.string()))
+        for i in np.flatnonzero(long).tolist():
+            text, number = texts[i].as_py(), number + 1
+            parts = machine.parts(text)
+            size, said = len(text.encode()), len(parts) - 1
+            places = [(k, at) for k, p in enumerate(parts) for at in range(0, len(p), chunk)] or [(0, 0)]
+            for lo in range(0, len(places), 64):
+                some = places[lo : lo + 64]
+                yield as_rows(CUT, doc_id=[doc_ids[i].as_py()] * len(some), n_bytes=[size] * len(some), n_tokens=[said if lo + j == 0 else 0 for j in range(len(some))], row=[number] * len(some), segment=[k for k, _ in some], part=[at for _, at in some], piece=[parts[k][at : at + chunk] for k, at in some])
+
+
+def _mapped(batches, path: str):
     machine = transducer(path)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            yield as_rows(COUNTS, doc_id=part.column(0), n_bytes=[len(t.encode()) for t in texts], n_tokens=[machine.count(t) for t in texts])
+        found = [machine.chunk_map(piece) for piece in batch.column("piece").to_pylist()]
+        same = {n: batch.column(n) for n in MAPS.names[:6]}
+        yield as_rows(MAPS, **same, head=[m.head for m in found], added=[m.added for m in found], out=[None if m.out is None else pickle.dumps(m.out) for m in found])
+
+
+def _composed(table: pa.Table, path: str) -> pa.Table:
+    """The count of one text from the maps of its chunks."""
+    machine, rows = transducer(path), table.sort_by([("segment", "ascending"), ("part", "ascending")]).to_pylist()
+    total, by = sum(r["n_tokens"] for r in rows), {}
+    for r in rows:
+        by.setdefault(r["segment"], []).append(ChunkMap(r["head"], r["added"], None if r["out"] is None else pickle.loads(r["out"])))
+    total += sum(machine.value(machine.scan(maps)[-1]) for maps in by.values())
+    return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "n_bytes": pa.array([rows[0]["n_bytes"]], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
 
-def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row, as the byte-level BPE file counts them."""
     source = renamed(docs, doc_id, text).select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
-    return source.mapInArrow(functools.partial(_counted, path=path), "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    # Written once: the counts of short texts, and the chunks of long ones to be dealt out.
+    cut = stored(source.mapInArrow(functools.partial(_cut, path=path, chunk=chunk), CUT_DDL), "token-counts")
+    dealt = cut.filter("row is not null").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "segment", "part")
+    composed = dealt.mapInArrow(functools.partial(_mapped, path=path), MAPS_DDL).groupBy("row").applyInArrow(lambda table: _composed(table, path), COUNTS_DDL)
+    return cut.filter("row is null").select(*COUNTS.names).unionByName(composed)

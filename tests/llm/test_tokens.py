@@ -90,7 +90,30 @@ def test_composition_is_associative():
     right = maps[-1]
     for m in maps[-2::-1]:
         right = machine.compose(m, right)
-    assert machine.value(left) == machine.value(right) == machine.value(machine.scan(maps)) == machine.count("don't stop thinkingabout\n\n tomorrow's")
+    assert machine.value(left) == machine.value(right) == machine.value(machine.scan(maps)[-1]) == machine.count("don't stop thinkingabout\n\n tomorrow's")
+
+
+def test_scan_gives_every_prefix():
+    machine, text = transducer.transducer(PATH), "Ab, c3's ab'll\n\n  x -- 12z " * 9
+    for size in (1, 4, 5, 11):
+        cuts = [text[i : i + size] for i in range(0, len(text), size)]
+        scanned = machine.scan([machine.chunk_map(c) for c in cuts])
+        assert [machine.value(m) for m in scanned] == [machine.count("".join(cuts[: i + 1])) for i in range(len(cuts))]
+
+
+@pytest.mark.parametrize("chunk", [5, 64])
+def test_long_texts_are_dealt_out(docs, rows, library, chunk):
+    """Counts of chunks that other tasks map and one composes, special strings and texts without white space among them."""
+    found = {r.doc_id: r for r in transducer.count_tokens(docs.filter("doc_id < 55"), PATH, chunk=chunk).collect()}
+    for i, text, *_ in rows[:55]:
+        assert (found[i].n_bytes, found[i].n_tokens) == (len((text or "").encode()), len(ids_of(library, text)))
+
+
+def test_segments_of_random_texts(library):
+    machine, texts = transducer.transducer(PATH), random_texts(3000)
+    for block in blocks_of(__import__("pyarrow").array(texts), 4096):
+        want = [len(ids_of(library, texts[block.first + i])) for i in range(block.rows)]
+        assert machine.block_counts(block).tolist() == want
 
 
 def test_few_states_are_enough(library):
@@ -103,6 +126,8 @@ def test_counts_of_tables(docs, rows, clashing, empty, library):
     found = {r.doc_id: r for r in transducer.count_tokens(docs, PATH).collect()}
     for i, text, *_ in rows:
         assert (found[i].n_bytes, found[i].n_tokens) == (len((text or "").encode()), len(ids_of(library, text)))
+    odd = docs.sparkSession.createDataFrame([(1, "中文，没有空格。" * 4000), (2, "x" * 40_000), (None, "a b " * 9000)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_tokens for r in transducer.count_tokens(odd, PATH).collect()} == {r.doc_id: len(ids_of(library, r.text)) for r in odd.collect()}
     assert transducer.count_tokens(clashing, PATH).count() == 4 and transducer.count_tokens(empty, PATH).count() == 0
 
 
