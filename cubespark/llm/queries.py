@@ -37,7 +37,18 @@ def op9_merkle_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import merkle
 
     found = merkle.edits(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.round("near_edited", 9).alias("near_edited"), F.round("near_next", 9).alias("near_next"))
+    first = F.get("differing", 0)
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        F.round("near_edited", 9).alias("near_edited"),
+        F.round("near_next", 9).alias("near_next"),
+        F.size("differing").cast("bigint").alias("n_differing"),
+        F.concat_ws("/", first["section"], first["paragraph"]).alias("first_differing"),
+    )
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

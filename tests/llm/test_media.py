@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 from urllib.parse import urlparse
@@ -282,14 +283,34 @@ def test_licences(spark):
         (4, "Prose.\nReleased under the MIT Licence.\nLICENSED UNDER THE APACHE LICENSE, VERSION 2.0\nlicensed to nobody"),
         (5, None),
         (6, ""),
+        (7, "(c) 2001 A.  All rights reserved.\n  ALL RIGHTS  RESERVED"),
         (None, "Released under the MIT License."),
         (None, "Released under the MIT License."),
     ]
     found = licences.scan(spark.createDataFrame([(*x, "c", "d") for x in some], "doc_id bigint, text string, kind string, digest string")).collect()
-    assert Counter((r.doc_id, r.license_id, r.declared) for r in found) == {(1, "MIT", None): 1, (2, "MIT", None): 1, (3, None, None): 1, (4, None, "Apache-2.0,MIT"): 1, (5, None, None): 1, (6, None, None): 1, (None, None, "MIT"): 2}
+    assert Counter((r.doc_id, r.license_id, r.declared) for r in found) == {(1, "MIT", None): 1, (2, "MIT", None): 1, (3, None, None): 1, (4, None, "Apache-2.0,MIT"): 1, (5, None, None): 1, (6, None, None): 1, (7, None, "All rights reserved"): 1, (None, None, "MIT"): 2}
     assert licences.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_licences_of_whole_files(spark):
+    """Texts of a folder of licences, wrapped and cased otherwise, among prose and a licence within a longer text."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    want = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-3": "LGPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "BSD": "BSD-3-Clause", "Artistic": "Artistic-1.0-Perl"}
+    want = {k: v for k, v in want.items() if (folder / k).exists()}
+    if not want:
+        pytest.skip("no licence texts here")
+    texts = {k: (folder / k).read_text() for k in want}
+    rows = [(k, t) for k, t in texts.items()] + [(f"{k} ", " ".join(t.swapcase().split())) for k, t in texts.items() if not re.search(r"(?i)copyright (\(c|\[)", t)] + [("within", "Read this.\n" + next(iter(texts.values()))), ("prose", "Nothing of the kind.")]
+    found = {r.doc_id: r.license_id for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert found == {k: want.get(k.strip()) for k, _ in rows}
+    more = spark.createDataFrame([("Nothing of the kind.",)], "t string").select(F.lit("text").alias("kind"), licences.digest(F.col("t")).alias("digest"), F.lit("Own").alias("license"))
+    assert {r.doc_id: r.license_id for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string"), more=more).collect()}["prose"] == "Own"
+    assert len(licences.DIGESTS) == len(set(licences.DIGESTS)) and all(len(d) == 64 for _, d in licences.DIGESTS)
+    assert all(any(x in t.lower() for x in licences.SPEAKS) for _, t in licences.LINES)
+
+
 def test_merkle_edits(spark, docs, rows):
     shuffled = [(i * 97, t) for i, t, *_ in rows] + [(10**12, "far"), (-5, "below")]
     order = sorted(shuffled, reverse=True)
@@ -307,10 +328,29 @@ def test_merkle_edits(spark, docs, rows):
 
 def test_merkle_branches(spark):
     a, b = "one\ntwo\n\nthree\nfour", "one\ntwo!\n\nthree\nfour\nfive"
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b")).select(merkle.differing(F.col("a"), F.col("b")).alias("d"), merkle.differing(F.col("a"), F.col("a")).alias("same")).first()
+    digests = lambda c: merkle.paragraph_digests(merkle.tree(F.col(c)))
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.differing(digests("a"), digests("b")).alias("d"), merkle.differing(digests("a"), digests("a")).alias("same")).first()
     assert [tuple(x) for x in row.d] == [(0, 1), (1, 2)] and row.same == []
 
 
+def test_merkle_roots_are_of_whole_digests(spark):
+    """Leaves are cut in the list alone: the root follows from whole digests, and edits are told by their places."""
+    text = "x" * 70 + "\nsecond\n\nthird"
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    leaves = [["x" * 64, "x" * 6], ["second"], ["third"]]
+    p = [md5("".join(map(md5, some))) for some in leaves]
+    want = md5(md5(p[0] + p[1]) + md5(p[2])) + ":" + "".join(md5(x)[:8] for some in leaves for x in some)
+    found = {r.doc_id: r for r in merkle.edits(spark.createDataFrame([(1, text), (2, "other\n" * 40)], "doc_id bigint, text string")).collect()}
+    assert found[1].fingerprint == want
+    k = len(text) // 3
+    edited = text[: len(text) - k] + ("other\n" * 40)[:k]
+    old, new = ([s.split("\n") for s in t.split("\n\n")] for t in (text, edited))
+    width = lambda t, i: len(t[i]) if i < len(t) else 0
+    cell = lambda t, i, j: t[i][j] if i < len(t) and j < len(t[i]) else None
+    places = [(i, j) for i in range(max(len(old), len(new))) for j in range(max(width(old, i), width(new, i))) if cell(old, i, j) != cell(new, i, j)]
+    assert [tuple(x) for x in found[1].differing] == places
+
+
 def test_merkle_repeated_rows_and_empty(spark):
     twice = spark.createDataFrame([(1, "abc"), (1, "abc"), (2, "xyzxyz")], "doc_id bigint, text string")
     found = merkle.edits(twice).collect()
@@ -319,8 +359,28 @@ def test_merkle_repeated_rows_and_empty(spark):
     assert merkle.edits(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_successors(spark):
+@pytest.mark.parametrize("group", [1 << 16, 7])
+def test_next_rows(spark, group):
+    """Hashed ids, dense ones, and one that a third of all rows repeats, in many groups and in few."""
+    import xxhash
+
     rnd = random.Random(2)
-    keys = sorted({rnd.randrange(-(10**9), 10**9) for _ in range(500)} | set(range(700)))
-    found = {r.k: r.next_k for r in merkle.successors(spark.createDataFrame([(k,) for k in keys], "k bigint")).collect()}
-    assert found == dict(zip(keys, [keys[-1], *keys[:-1]]))
+    rows = [(rnd.getrandbits(64) - (1 << 63), f"a{i}") for i in range(200)] + [(i, f"b{i}") for i in range(100)] + [(77, f"c{i}") for i in range(150)]
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63)
+    order = sorted(rows, key=lambda r: (r[0], signed(r[1]), r[1]), reverse=True)
+    want = Counter((*a, b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = merkle.with_next(frame, group=group)
+    assert Counter(map(tuple, found.collect())) == want
+    if group == 7:
+        bounds = merkle.bounds_of(frame, 64)
+        sizes = Counter(r.g for r in frame.withColumn("hash", F.xxhash64("text")).select(merkle.group_of(bounds).alias("g")).collect())
+        assert max(sizes.values()) < 40 and len(sizes) > 50
+
+
+def test_next_rows_of_many_hashed_ids(spark):
+    """No task holds much more than its share of 10**5 hashed ids."""
+    frame = spark.range(100_000).select(F.xxhash64("id").alias("doc_id"))
+    bounds = merkle.bounds_of(frame, 50)
+    sizes = [r["count"] for r in frame.withColumn("hash", F.lit(0)).groupBy(merkle.group_of(bounds).alias("g")).count().collect()]
+    assert len(sizes) == 50 and max(sizes) < 2 * 100_000 / 50
