@@ -87,11 +87,14 @@ class MergeAutomaton:
             self.piece[node] = i
         ids = bpe.ids
         self.piece_ids = range(1 + max(ids.values()))
-        #: merged piece and rank by the two pieces; the two parts by the piece; a piece's rank (-1: a single byte).
-        self.rank = {(ids[a], ids[b]): r for r, (a, b) in enumerate(bpe.merges)}
+        #: ranks of merges by left and right piece; the two parts by the piece; a piece's rank (-1: a single byte).
+        self.merges: dict[int, dict[int, int]] = {}
+        for r, (a, b) in enumerate(bpe.merges):
+            self.merges.setdefault(ids[a], {})[ids[b]] = r
         self.parts = {ids[a + b]: (ids[a], ids[b]) for a, b in bpe.merges}
         self.born = {ids[a + b]: r for r, (a, b) in enumerate(bpe.merges)}
         self.apart: dict[tuple[int, int], bool] = {}
+        self.lefts, self.rights, self.lower = {}, {}, {}
         self.under = [0] * len(self.children)  # how many pieces stand below a node
         for node in range(len(self.children) - 1, -1, -1):  # children have greater numbers
             self.under[node] = sum(self.under[c] + (self.piece[c] >= 0) for c in self.children[node].values())
@@ -105,11 +108,7 @@ class MergeAutomaton:
         What a left neighbour can do is told by the merges that each piece at its right end can
         still be the left part of; pieces with the same such merges are alike.
         """
-        merges: dict[int, list[int]] = {}
-        for (a, _), r in self.rank.items():
-            merges.setdefault(a, []).append(r)
-        for ranks in merges.values():
-            ranks.sort()
+        merges = {a: sorted(some.values()) for a, some in self.merges.items()}
         first, out = {}, {}
         for piece in self.piece_ids:
             able = tuple((a, n) for a, end in self._edge(piece, 1) if (n := bisect.bisect_left(merges.get(a, []), end)))
@@ -117,13 +116,17 @@ class MergeAutomaton:
         return out
 
     def _below(self, node: int) -> list[int]:
-        out, todo = [], list(self.children[node].values())
-        while todo:
-            n = todo.pop()
-            if self.piece[n] >= 0:
-                out.append(self.piece[n])
-            todo += self.children[n].values()
-        return out
+        """The pieces below a node that has few of them."""
+        found = self.lower.get(node)
+        if found is None:
+            found, todo = [], list(self.children[node].values())
+            while todo:
+                n = todo.pop()
+                if self.piece[n] >= 0:
+                    found.append(self.piece[n])
+                todo += self.children[n].values()
+            self.lower[node] = found
+        return found
 
     def _narrowed(self, node: int, last: int) -> int:
         """One for all pieces that the pieces below ``node`` tell apart from ``last`` in no way; -2 if none below can follow it."""
@@ -146,17 +149,29 @@ class MergeAutomaton:
             out.append((piece, until))
         return out
 
+    def _lefts(self, piece: int) -> list[tuple[dict[int, int], float, int]]:
+        """Of each piece at the right end of ``piece``: its merges by the right part, the rank that ends it and the one that began it."""
+        found = self.lefts.get(piece)
+        if found is None:
+            found = self.lefts[piece] = [(self.merges[a], end, self.born.get(a, -1)) for a, end in self._edge(piece, 1) if a in self.merges]
+        return found
+
+    def _rights(self, piece: int) -> list[tuple[int, float, int]]:
+        found = self.rights.get(piece)
+        if found is None:
+            found = self.rights[piece] = [(b, end, self.born.get(b, -1)) for b, end in self._edge(piece, 0)]
+        return found
+
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both pieces together gives these two pieces again."""
         known = self.apart.get((left, right))
         if known is None:
-            known = True
-            rights = self._edge(right, 0)
-            for a, a_end in self._edge(left, 1):
-                for b, b_end in rights:
-                    r = self.rank.get((a, b))
+            known, rights = True, self._rights(right)
+            for merges, a_end, a_born in self._lefts(left):
+                for b, b_end, b_born in rights:
+                    r = merges.get(b)
                     # Both stand at the border when rank r is merged; of equal ranks the left one goes first.
-                    if r is not None and r < a_end and r <= b_end and r > self.born.get(a, -1) and r > self.born.get(b, -1):
+                    if r is not None and a_born < r < a_end and b_born < r <= b_end:
                         known = False
                         break
                 if not known:
@@ -222,7 +237,7 @@ class CountTransducer:
         self.merging = MergeAutomaton(bpe)
         self.special = {k.decode(): v for k, v in bpe.special.items()}
         self.special_bytes = tuple(bpe.special)
-        self.remember, self.states, self.known = remember, {}, {}
+        self.remember, self.states, self.known = remember, {}, {}  # of segments three times as many are known
         self.initial = (FRESH, 0, (), "")
         self.kinds = class_table()
 
@@ -296,7 +311,7 @@ class CountTransducer:
         """Tokens of a segment (or of a special string)."""
         found = self.known.get(segment)
         if found is None:
-            if len(self.known) >= self.remember:
+            if len(self.known) >= 3 * self.remember:
                 self.known.clear()
             found = self.known[segment] = 1 if segment in self.special_bytes else self.run(self.initial, segment.decode())[0]
         return found
