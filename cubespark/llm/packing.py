@@ -38,6 +38,9 @@ from .pretokens import WordIds
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("place", pa.int64())])
 PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, place bigint"
 
+#: Bytes of text that are cut at a time: each distinct word is looked up once in them.
+BLOCK = 6 << 20
+
 
 @dataclass(frozen=True)
 class Capacity:
@@ -126,7 +129,7 @@ def _cut(batches, path: str, end_id: int, max_tokens: int):
     part, seen = TaskContext.get().partitionId(), np.zeros(max_tokens + 1, np.int64)
     for batch in batches:
         doc_ids = batch.column(0)
-        for block in blocks_of(batch.column(1)):
+        for block in blocks_of(batch.column(1), BLOCK):
             ids, counts = words.block_ids(block)
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id).astype("<u4")  # an end token behind each document
