@@ -1,16 +1,10 @@
-"""Coordinates as tables: linear fits, nearest samples, beams, listings."""
+"""Coordinates as tables: linear fits, nearest samples, beams."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Names that come first in a listing, in this order, and the group that does (fixed values).
-KNOWN_IMAGES = ("SKY", "SKY_MODEL", "SKY_RESIDUAL", "SKY_DIRTY", "POINT_SPREAD_FUNCTION", "PRIMARY_BEAM", "MASK")
-FIRST_GROUP = "base"
-SKY_TYPES, APERTURE_TYPES = ("sky", "point_spread_function", "primary_beam", "mask"), ("aperture", "visibility", "uv_sampling")
-
-
 def nearest(samples: DataFrame, reference: Column, key: list[str] | None = None) -> DataFrame:
     """The sample (idx, value) closest to the reference in each group; the first of equals."""
     distance = F.abs(F.col("value") - reference)
@@ -66,50 +60,3 @@ def beams(cells: DataFrame, labels: DataFrame) -> DataFrame:
     named = cells.join(F.broadcast(labels), "param").withColumn("label", F.lower("label"))
     out = named.groupBy("time", "channel", "polarization").pivot("label", ["major", "minor", "pa"]).agg(F.first("value"))
     return out.orderBy("time", "channel", "polarization")
-
-
-def qualify(nodes: DataFrame, group_roles: DataFrame, coordinates: DataFrame) -> DataFrame:
-    """A row for every listed or diagnosed node: (name, listed, openable, malformed, code).
-
-    nodes (name, kind, parsed, type, dims array<string>, shape array<bigint>, data_type, flag_ok);
-    group_roles (group, role, variable); coordinates (name, length).  Rules apply in order; nodes that
-    are passed over have no row.
-    """
-    images = [*SKY_TYPES, *APERTURE_TYPES]
-    contradicted = group_roles.filter(F.col("role").isin(images)).join(nodes.select(F.col("name").alias("variable"), "type"), "variable").filter(~F.col("role").eqNullSafe(F.col("type"))).select(F.col("variable").alias("name")).distinct().withColumn("contradicted", F.lit(True))
-    extents = nodes.select("name", F.posexplode(F.arrays_zip("dims", "shape")).alias("at", "d")).select("name", "d.dims", "d.shape")
-    lengths = coordinates.select(F.col("name").alias("dims"), "length")
-    off = extents.join(lengths, "dims").filter("shape <> length").select("name").distinct().withColumn("off", F.lit(True))
-    missing = extents.filter(F.col("dims").isin("u", "v")).join(lengths, "dims", "left_anti").select("name").distinct().withColumn("missing", F.lit(True))
-    n = nodes.join(contradicted, "name", "left").join(off, "name", "left").join(missing, "name", "left")
-    plane = F.when(F.col("type").isin(*SKY_TYPES), F.lit("sky")).when(F.col("type").isin(*APERTURE_TYPES), F.lit("aperture"))
-    needs = F.when(plane == "sky", F.array(*map(F.lit, ("time", "frequency", "polarization", "l", "m")))).otherwise(F.array(*map(F.lit, ("time", "frequency", "polarization", "u", "v"))))
-    carries = F.size(F.array_except(needs, "dims")) == 0
-    verdict = lambda code, listed=True, openable=False, malformed=True: F.struct(F.lit(listed).alias("listed"), F.lit(openable).alias("openable"), F.lit(malformed).alias("malformed"), F.lit(code).alias("code"))
-    rule = (
-        F.when(F.col("kind") == "group", F.lit(None))
-        .when(F.col("kind") == "unrecognized", verdict("unrecognized_node", listed=False))
-        .when(~F.col("parsed"), verdict("unreadable_array", listed=False))
-        .when(F.coalesce("contradicted", F.lit(False)), verdict("invalid_metadata"))
-        .when(F.coalesce(F.col("type"), F.lit("")) == "flag", F.lit(None))
-        .when(plane.isNull(), F.lit(None))
-        .when(~carries, verdict("invalid_metadata"))
-        .when(F.col("data_type") == "bool", verdict("unsupported_data_type", malformed=False))
-        .when(F.col("data_type").startswith("complex"), verdict("unsupported_data_type", malformed=False))
-        .when(F.size("dims") != 5, verdict("invalid_metadata"))
-        .when((plane == "aperture") & F.coalesce("missing", F.lit(False)), verdict("invalid_metadata"))
-        .when(F.coalesce("off", F.lit(False)), verdict("invalid_metadata"))
-        .when(~F.coalesce("flag_ok", F.lit(True)), verdict("invalid_metadata"))
-        .otherwise(verdict(None, openable=True, malformed=False))
-    )
-    return n.select("name", rule.alias("v")).filter("v is not null").select("name", "v.listed", "v.openable", "v.malformed", "v.code")
-
-
-def listing(images: DataFrame, group_roles: DataFrame) -> DataFrame:
-    """images (name, openable) with their rank: by data group (base first, then by name; none last), then known names, then the name."""
-    group = group_roles.groupBy(F.col("variable").alias("name")).agg(F.min(F.struct((F.col("group") != FIRST_GROUP).cast("int").alias("later"), F.col("group"))).alias("g"))
-    known = F.array_position(F.array(*map(F.lit, KNOWN_IMAGES)), F.col("name"))
-    order = Window.orderBy(F.coalesce("g.later", F.lit(2)), F.coalesce("g.group", F.lit("")), F.when(known == 0, F.lit(len(KNOWN_IMAGES) + 1)).otherwise(known), "name")
-    ranked = images.join(group, "name", "left").withColumn("rank", F.row_number().over(order))
-    first = F.min(F.when(F.col("openable"), F.col("rank"))).over(Window.partitionBy())
-    return ranked.select("name", "openable", "rank", (F.col("rank") == first).alias("is_default"))

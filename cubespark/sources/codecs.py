@@ -1,4 +1,4 @@
-"""Chunk codecs of Zarr v3: bytes, transpose, gzip, zstd, blosc where installed, crc32c, sharding."""
+"""Chunk codecs of Zarr v3: bytes, transpose, gzip, zstd, blosc, crc32c, sharding."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from ..errors import CubeError
 
@@ -57,11 +58,7 @@ def _inflate(name: str, data: bytes) -> bytes:
 
             return zstandard.ZstdDecompressor().decompressobj().decompress(data)
         if name == "blosc":
-            try:
-                import blosc
-            except ImportError:
-                raise CubeError("unsupported_codec", "blosc is not installed") from None
-            return blosc.decompress(data)
+            return blosc_unpacked(data)
     except CubeError:
         raise
     except Exception as e:
@@ -80,9 +77,110 @@ def _deflate(codec: dict, data: bytes) -> bytes:
         return zstandard.ZstdCompressor(level=conf.get("level", 3), write_checksum=bool(conf.get("checksum", False))).compress(data)
     if name == "crc32c":
         return data + struct.pack("<I", crc32c(data))
+    if name == "blosc":
+        return blosc_packed(data, conf)
     raise CubeError("unsupported_codec", f"codec {name!r}")
 
 
+#: Fixed values of the blosc format: bits of the flags, inner codecs by number, and when a block is split by bytes.
+SHUFFLED, COPIED, BIT_SHUFFLED, WHOLE = 1, 2, 4, 16
+BLOSC = {1: "lz4", 2: "snappy", 3: "zlib", 4: "zstd"}
+MOST_SPLITS, LEAST_SPLIT = 16, 128
+
+
+def _inner(name: str, data: bytes, size: int) -> bytes:
+    if name == "zlib":
+        return zlib.decompress(data)
+    if name == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+    return pa.Codec("lz4_raw" if name == "lz4" else name).decompress(data, size).to_pybytes()
+
+
+def _splits(flags: int, typesize: int, blocksize: int, last_short: bool) -> int:
+    split = not flags & WHOLE and not last_short and typesize <= MOST_SPLITS and blocksize // typesize >= LEAST_SPLIT
+    return typesize if split else 1
+
+
+def _turned(block: bytes, typesize: int, back: bool) -> bytes:
+    """Bytes of equal places of the elements side by side, or back; what is over stays."""
+    n = len(block) // typesize
+    whole = np.frombuffer(block, np.uint8, n * typesize).reshape((typesize, n) if back else (n, typesize))
+    return whole.T.tobytes() + block[n * typesize :]
+
+
+def blosc_unpacked(data: bytes) -> bytes:
+    """The bytes of a blosc buffer, by its header: blocks, each of streams that may be split by byte and shuffled."""
+    if len(data) < 16:
+        raise CubeError("decode_error", "a blosc buffer without a header")
+    flags, typesize, size, blocksize, packed = struct.unpack("<2xBBIII", data[:16])
+    if packed != len(data):
+        raise CubeError("decode_error", f"a blosc buffer of {len(data)} bytes that says {packed}")
+    if flags & COPIED or not size:
+        if len(data) != 16 + size:
+            raise CubeError("decode_error", "a copied blosc buffer of another length")
+        return data[16:]
+    name = BLOSC.get(flags >> 5)
+    if name is None or flags & BIT_SHUFFLED:
+        raise CubeError("unsupported_codec", "blosc with blosclz or shuffled bits")
+    out = []
+    for i in range(-(-size // blocksize)):
+        length = min(blocksize, size - i * blocksize)
+        (at,) = struct.unpack_from("<I", data, 16 + 4 * i)
+        streams = _splits(flags, typesize, blocksize, length < blocksize)
+        parts = []
+        for _ in range(streams):
+            (n,) = struct.unpack_from("<I", data, at)
+            raw = data[at + 4 : at + 4 + n]
+            parts.append(raw if n == length // streams else _inner(name, raw, length // streams))
+            at += 4 + n
+        block = b"".join(parts)
+        if len(block) != length:
+            raise CubeError("decode_error", "a blosc block of another length")
+        out.append(_turned(block, typesize, True) if flags & SHUFFLED and typesize > 1 else block)
+    return b"".join(out)
+
+
+def blosc_packed(data: bytes, conf: dict) -> bytes:
+    """A blosc buffer; settings: cname (lz4, zlib or zstd), clevel, shuffle, typesize, blocksize (0: 32 KiB)."""
+    name, level, typesize = conf.get("cname", "zstd"), conf.get("clevel", 5), conf.get("typesize", 1)
+    number = next((k for k, v in BLOSC.items() if v == name), None)
+    if number is None or name == "snappy" or conf.get("shuffle") == "bitshuffle":
+        raise CubeError("unsupported_codec", f"blosc with {conf}")
+    shuffle = conf.get("shuffle", "noshuffle") == "shuffle" and typesize > 1
+    blocksize = min(conf.get("blocksize") or 1 << 15, len(data))
+    blocksize = max(typesize, blocksize // typesize * typesize)
+    flags = number << 5 | SHUFFLED * shuffle | WHOLE * (name != "lz4")
+
+    def squeezed(raw: bytes) -> bytes:
+        if name == "lz4":
+            return pa.Codec("lz4_raw").compress(raw, asbytes=True)
+        if name == "zlib":
+            return zlib.compress(raw, level)
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=level).compress(raw)
+
+    blocks = []
+    for lo in range(0, len(data), blocksize) if level else ():
+        block = data[lo : lo + blocksize]
+        streams = _splits(flags, typesize, blocksize, len(block) < blocksize)
+        block = _turned(block, typesize, False) if shuffle else block
+        each, parts = len(block) // streams, []
+        for k in range(streams):
+            raw = block[k * each : (k + 1) * each if k + 1 < streams else None]
+            small = squeezed(raw)
+            small = raw if len(small) >= len(raw) else small
+            parts.append(struct.pack("<I", len(small)) + small)
+        blocks.append(b"".join(parts))
+    head = 16 + 4 * len(blocks)
+    if not blocks or head + sum(map(len, blocks)) >= 16 + len(data):
+        return struct.pack("<BBBBIII", 2, 1, flags | COPIED, typesize, len(data), blocksize, 16 + len(data)) + data
+    starts = head + np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
+    return struct.pack("<BBBBIII", 2, 1, flags, typesize, len(data), blocksize, int(starts[-1])) + starts[:-1].astype("<u4").tobytes() + b"".join(blocks)
+
+
 def _checked(data: bytes) -> bytes:
     if len(data) < 4 or struct.unpack("<I", data[-4:])[0] != crc32c(data[:-4]):
         raise CubeError("decode_error", "a checksum does not match")

@@ -2,15 +2,16 @@
 
 Options: ``path``; ``image`` (the default image if missing); ``mask`` (false: flags are not read);
 ``channels``, ``polarizations``, ``times``, ``x``, ``y`` as start:count:stride; ``chunks`` as "cx,cy;..."
-of the spatial chunks to read; ``budgetBytes`` of decoded pixels a task holds.
+of the spatial chunks to read; ``budgetBytes`` that a task's chunks may hold (see ``read_budget``), or
+``threads`` that decode and ``tasks`` there should be at least (the session's cores, by ``load``).
 
 Selections are options, and not pushed filters, because one loaded source may stand in a plan more than
-once with different filters.  A scan reads only the chunks that its selection touches.
+once with different filters.  A scan reads only the chunks that its selection touches; chunks are numbers
+that tasks turn into boxes, so that the driver lists none.
 """
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,9 @@ from .images import ROLE_OF, Image, open_dataset
 SCHEMA = "time int, polarization int, channel int, y int, x int, value float, flagged boolean"
 ARROW = pa.schema([*[(n, pa.int32()) for n in ("time", "polarization", "channel", "y", "x")], ("value", pa.float32()), ("flagged", pa.bool_())])
 OPTION = {"spectral": "channels", "polarization": "polarizations", "time": "times", "x": "x", "y": "y"}
-BUDGET, ROWS = 64 << 20, 1 << 18
+ROWS = 1 << 18
+#: How often a chunk is held while it is read, bounds of the default read budget, and the most tasks of a scan.
+HELD, LEAST, MOST, MOST_TASKS = 3, 256 << 20, 2 << 30, 100_000
 
 
 def parse_range(text: str, length: int, name: str) -> Range:
@@ -38,40 +41,101 @@ def parse_range(text: str, length: int, name: str) -> Range:
     return found.checked(length, name)
 
 
-@dataclass
-class Boxes(InputPartition):
-    """Boxes of the array (stored order, ends exclusive) that one task reads."""
-
-    boxes: list[tuple[tuple[int, ...], tuple[int, ...]]]
-
-
 def ranges_of(options: dict, cube: CubeMeta) -> dict[str, Range]:
     given = {k.lower(): v for k, v in options.items()}
     return {a.role: parse_range(given[OPTION[a.role].lower()], a.length, a.name) if OPTION[a.role].lower() in given else Range(0, a.length) for a in cube.axes}
 
 
-def plan_boxes(image: Image, ranges: dict[str, Range], cells: set[tuple[int, int]] | None, budget: int) -> list[Boxes]:
-    """Stored chunks that the selection touches, packed into tasks of about ``budget`` decoded bytes, in stored order."""
+def read_budget(chunk_bytes: int, threads: int = 1) -> int:
+    """Bytes that a read may hold by default: two chunks for each thread that decodes, within 256 MiB and 2 GiB; a chunk is held three times (packed, decoded, as rows)."""
+    return min(MOST, max(LEAST, HELD * max(1, chunk_bytes) * 2 * max(1, threads)))
+
+
+@dataclass(frozen=True)
+class Span:
+    """The chunks of one axis that a range touches, by number."""
+
+    range: Range
+    size: int
+
+    @property
+    def count(self) -> int:
+        r = self.range
+        return r.count if r.stride > self.size else r.last // self.size - r.start // self.size + 1
+
+    def chunk(self, k: int) -> int:
+        r = self.range
+        return (r.start + k * r.stride) // self.size if r.stride > self.size else r.start // self.size + k
+
+
+@dataclass
+class Chunks(InputPartition):
+    """The stored chunks that one task reads, by their numbers in the scan: first up to last, exclusive."""
+
+    first: int
+    last: int
+
+
+@dataclass(frozen=True)
+class Scan:
+    """The stored chunks that a selection touches, numbered in stored order (with cells: the cells fastest), never listed.
+
+    spans: of each stored axis, x and y among them only if cells is None; cells: the spatial chunks to read.
+    """
+
+    roles: tuple[str, ...]
+    spans: dict[str, Span]
+    cells: tuple[tuple[int, int], ...] | None
+    chunk_bytes: int
+
+    @property
+    def free(self) -> list[str]:
+        return [r for r in self.roles if self.cells is None or r not in ("x", "y")]
+
+    @property
+    def count(self) -> int:
+        n = 1 if self.cells is None else len(self.cells)
+        for r in self.free:
+            n *= self.spans[r].count
+        return n
+
+    def place(self, number: int) -> dict[str, int]:
+        """Chunk indices by role."""
+        out = {}
+        if self.cells is not None:
+            number, k = divmod(number, len(self.cells))
+            out["x"], out["y"] = self.cells[k]
+        for r in reversed(self.free):
+            number, k = divmod(number, self.spans[r].count)
+            out[r] = self.spans[r].chunk(k)
+        return out
+
+    def box(self, number: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """A chunk's part of the selection in stored order, ends exclusive."""
+        at = self.place(number)
+        low = tuple(max(at[r] * self.spans[r].size, self.spans[r].range.start) for r in self.roles)
+        high = tuple(min((at[r] + 1) * self.spans[r].size, self.spans[r].range.last + 1) for r in self.roles)
+        return low, high
+
+    def partitions(self, budget: int | None = None, threads: int = 1, least: int = 1) -> list[Chunks]:
+        """Runs of chunks for tasks: as many as the budget holds, fewer if that leaves less than ``least`` tasks, more if it leaves over ``MOST_TASKS``."""
+        held = HELD * self.chunk_bytes
+        each = max(1, (read_budget(self.chunk_bytes, threads) if budget is None else budget) // held)
+        if budget is None:
+            each = min(each, max(1, self.count // max(1, least)))
+        each = max(each, -(-self.count // MOST_TASKS))
+        return [Chunks(a, min(a + each, self.count)) for a in range(0, self.count, each)]
+
+
+def plan_scan(image: Image, ranges: dict[str, Range], cells: set[tuple[int, int]] | None = None) -> Scan:
+    """The scan of a selection; cells outside it are left out."""
     a = image.array
-    roles = [ROLE_OF[d] for d in a.dims]
-    spans = []
-    for role, n in zip(roles, a.stored):
-        r = ranges[role]
-        spans.append(sorted({i // n for i in r.indices()}) if r.stride > n else list(range(r.start // n, r.last // n + 1)))
-    size = 4 * int(np.prod(a.stored))
-    x, y = roles.index("x"), roles.index("y")
-    found, held = [[]], 0
-    for at in itertools.product(*spans):
-        if cells is not None and (at[x], at[y]) not in cells:
-            continue
-        if found[-1] and held + size > budget:
-            found.append([])
-            held = 0
-        low = tuple(max(c * n, ranges[r].start) for c, n, r in zip(at, a.stored, roles))
-        high = tuple(min((c + 1) * n, ranges[r].last + 1) for c, n, r in zip(at, a.stored, roles))
-        found[-1].append((low, high))
-        held += size
-    return [Boxes(b) for b in found if b]
+    roles = tuple(ROLE_OF[d] for d in a.dims)
+    spans = {role: Span(ranges[role], n) for role, n in zip(roles, a.stored)}
+    if cells is not None:
+        inside = [{spans[r].chunk(k) for k in range(spans[r].count)} for r in ("x", "y")]
+        cells = tuple(sorted(c for c in cells if c[0] in inside[0] and c[1] in inside[1]))
+    return Scan(roles, spans, cells, decoded_chunk_bytes(image))
 
 
 class CubeReader(DataSourceReader):
@@ -86,19 +150,21 @@ class CubeReader(DataSourceReader):
         self.flag = image.flag if str(options.get("mask", "true")).lower() == "true" else None
         cells = options.get("chunks")
         cells = {tuple(map(int, c.split(","))) for c in cells.split(";") if c} if cells is not None else None
-        self.plan = plan_boxes(image, self.ranges, cells, int(options.get("budgetBytes", options.get("budgetbytes", BUDGET))))
+        self.scan = plan_scan(image, self.ranges, cells)
+        given = {k.lower(): int(v) for k, v in options.items() if k.lower() in ("budgetbytes", "threads", "tasks")}
+        self.tasks = given.get("budgetbytes"), given.get("threads", 1), given.get("tasks", 1)
 
     def partitions(self):
-        return self.plan or [Boxes([])]
+        return self.scan.partitions(*self.tasks) or [Chunks(0, 0)]
 
-    def read(self, partition: Boxes):
+    def read(self, partition: Chunks):
         from .zarr import Store
 
         store = Store(self.path)
         a = store.verified(self.name)
-        roles = [ROLE_OF[d] for d in a.dims]
+        roles = self.scan.roles
         flags = store.verified(self.flag) if self.flag else None
-        for low, high in partition.boxes:
+        for low, high in map(self.scan.box, range(partition.first, partition.last)):
             values = store.box(self.name, a, low, high).astype(np.float32)
             flagged = store.box(self.flag, flags, low, high) if flags else np.zeros(values.shape, bool)
             picks, indices = [], {}
@@ -136,6 +202,7 @@ def load(spark: SparkSession, path: str, image: str | None = None, **options) ->
     reachable(spark).dataSource.register(CubeSource)
     if image:
         options["image"] = image
+    options.setdefault("tasks", spark.sparkContext.defaultParallelism)
     return spark.read.format("cube").options(path=path, **{k: str(v) for k, v in options.items()}).load()
 
 

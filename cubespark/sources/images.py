@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import CubeError
 from ..model import Axis, CubeMeta
-from ..operators.axes import APERTURE_TYPES, FIRST_GROUP, KNOWN_IMAGES, SKY_TYPES
 from . import codecs as cc
 from .zarr import ArrayMeta, Node, Store, node_name
 
-#: Fixed values of the schema.
+#: Fixed values of the schema; names that come first in a listing, in this order, and the group that does.
+KNOWN_IMAGES = ("SKY", "SKY_MODEL", "SKY_RESIDUAL", "SKY_DIRTY", "POINT_SPREAD_FUNCTION", "PRIMARY_BEAM", "MASK")
+FIRST_GROUP = "base"
+SKY_TYPES, APERTURE_TYPES = ("sky", "point_spread_function", "primary_beam", "mask"), ("aperture", "visibility", "uv_sampling")
 SCHEMA_ID, SCHEMA_VERSION = "xradio.image", "0.0.2"
 SKY_DIMS, APERTURE_DIMS = ("l", "m", "frequency", "polarization", "time"), ("u", "v", "frequency", "polarization", "time")
 ROLE_OF = {"l": "x", "u": "x", "m": "y", "v": "y", "frequency": "spectral", "polarization": "polarization", "time": "time"}
@@ -434,15 +436,44 @@ class Dataset:
         return spark.createDataFrame(list(enumerate(values)), f"idx int, value {'string' if values and isinstance(values[0], str) else 'double'}")
 
 
+#: What opens a store of each known schema.
+SCHEMAS: dict[str, type[Dataset]] = {SCHEMA_ID: Dataset}
+
+
+@dataclass(frozen=True)
+class Probe:
+    """What a store is: supported, invalid, or without a supported schema; the schema that says so, and why."""
+
+    kind: str
+    schema_id: str | None
+    diagnostics: tuple[Diagnostic, ...]
+
+
+def probe_store(path: str, schemas: dict[str, type[Dataset]] | None = None) -> Probe:
+    """Every known schema is asked once; more than one that matches is ambiguous, else the first that is not indifferent answers."""
+    asked = [(name, kind(path)) for name, kind in (SCHEMAS if schemas is None else schemas).items()]
+    answers = [(name, d.match(), tuple(d.diagnostics())) for name, d in asked]
+    matches = [a for a in answers if a[1] == "match"]
+    if len(matches) > 1:
+        return Probe("invalid", None, (Diagnostic("ambiguous_schema", f"the store is of more than one schema: {', '.join(a[0] for a in matches)}"),))
+    for kind, some in (("supported", matches), ("invalid", [a for a in answers if a[1] == "invalid"])):
+        if some:
+            return Probe(kind, some[0][0], some[0][2])
+    return Probe("zarr_without_supported_schema", None, next((a[2] for a in answers if a[2]), ()))
+
+
 def open_dataset(path: str) -> Dataset:
-    return Dataset(path).required()
+    found = probe_store(path)
+    if found.kind == "invalid" and found.schema_id is None:
+        raise CubeError("ambiguous_schema", found.diagnostics[0].message)
+    return SCHEMAS[found.schema_id or SCHEMA_ID](path).required()
 
 
 def probe(path: str, schema_id: str = SCHEMA_ID) -> tuple[str, list[Diagnostic]]:
     """(match, invalid or no_match; diagnostics) for one schema; an unknown schema is refused before the path is looked at."""
-    if schema_id != SCHEMA_ID:
+    if schema_id not in SCHEMAS:
         raise CubeError("unsupported_schema", f"schema {schema_id!r} is not known")
-    found = Dataset(path)
+    found = SCHEMAS[schema_id](path)
     return found.match(), found.diagnostics()
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import CubeError
-from ..operators.layouts import p90
+from ..operators.layouts import MIDDLE, P90, by_rank
 from . import codecs as cc
 from .images import Dataset
 
@@ -42,14 +40,23 @@ def complete_trials(rows: DataFrame) -> DataFrame:
 
 def chunk_summary(rows: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """By group: median and p90 of first touches (null with fewer than ``least``), share of late frames, frame medians."""
-    first = F.when(~F.coalesce("shares_chunks", F.lit(False)) & (F.col("status") == "ok"), F.col("seconds"))
-    enough = F.count(first) >= least
-    return rows.groupBy(*keys).agg(
-        F.when(enough, F.median(first)).alias("median_s"),
-        F.when(enough, p90(first)).alias("p90_s"),
-        F.count(first).alias("first_touches"),
-        (F.sum("late_frames") / F.sum(F.col("frames_played") - 1)).alias("late_share"),
-        F.median("frame_median_s").alias("frame_median_s"),
+    marked = rows.withColumn("first_s", F.when(~F.coalesce("shares_chunks", F.lit(False)) & (F.col("status") == "ok"), F.col("seconds")))
+    inner = {"firsts": F.count("first_s"), "late": F.sum("late_frames"), "played": F.sum(F.col("frames_played") - 1)}
+    outer = {"first_touches": F.sum("firsts"), "late": F.sum("late"), "played": F.sum("played")}
+    timed = by_rank(marked, keys, "first_s", {"low": MIDDLE[0], "high": MIDDLE[1], "p90": P90}, inner, outer)
+    frames = by_rank(rows, keys, "frame_median_s", {"frame_low": MIDDLE[0], "frame_high": MIDDLE[1]})
+    same = None
+    for k in keys:
+        one = timed[k].eqNullSafe(frames[k])
+        same = one if same is None else same & one
+    enough = F.col("first_touches") >= least
+    return timed.join(frames, same).select(
+        *[timed[k] for k in keys],
+        F.when(enough, (F.col("low") + F.col("high")) / 2).alias("median_s"),
+        F.when(enough, F.col("p90")).alias("p90_s"),
+        "first_touches",
+        (F.col("late") / F.col("played")).alias("late_share"),
+        ((F.col("frame_low") + F.col("frame_high")) / 2).alias("frame_median_s"),
     )
 
 
@@ -65,9 +72,18 @@ def ordered_fingerprint(values: np.ndarray) -> int:
 def write_raw(pixels: DataFrame, out) -> int:
     """float32 values in logical order to a binary stream, a partition at a time; returns how many."""
     n = 0
-    for row in pixels.select("time", "polarization", "channel", "y", "x", "value").orderBy("time", "polarization", "channel", "y", "x").select("value").toLocalIterator(prefetchPartitions=True):
-        out.write(struct.pack("<f", row[0]))
-        n += 1
+    ordered = pixels.orderBy("time", "polarization", "channel", "y", "x").select("value")
+
+    def packed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 18):
+                values = batch.column(0).slice(at, 1 << 18).to_numpy(zero_copy_only=False).astype("<f4")
+                yield pa.RecordBatch.from_pydict({"raw": pa.array([values.tobytes()], pa.binary())})
+
+    # Rows of a million bytes, not of a pixel, come to the driver, partition after partition.
+    for row in ordered.mapInArrow(packed, "raw binary").toLocalIterator(prefetchPartitions=True):
+        out.write(row[0])
+        n += len(row[0]) // 4
     return n
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from pathlib import Path
 
 import numpy as np
@@ -45,15 +44,16 @@ def rewrite(spark: SparkSession, source: str, target: str, image: str, chunk: di
     for name in filter(None, (image, flag)):
         a = dataset.store.array(name)
         # The document alone; chunks follow in tasks.
-        every = set(itertools.product(*[range(-(-s // c)) for s, c in zip(shape, size)]))
-        write_array(out / name, np.broadcast_to(np.zeros((), cc.dtype_of(a.data_type)), shape), a.dims, size, a.attributes, codecs, "NaN" if a.fill == "NaN" else a.fill or 0, skip=every)
-    jobs = [(name, list(at)) for name in filter(None, (image, flag)) for at in itertools.product(*[range(-(-s // c)) for s, c in zip(shape, size)])]
+        write_array(out / name, np.broadcast_to(np.zeros((), cc.dtype_of(a.data_type)), shape), a.dims, size, a.attributes, codecs, "NaN" if a.fill == "NaN" else a.fill or 0, chunks=False)
+    names, grid = [n for n in (image, flag) if n], tuple(-(-s // c) for s, c in zip(shape, size))
+    each = int(np.prod(grid, dtype=object))
     low = tuple(ranges[d].start for d in main.dims)
 
     def written(batches):
         store, made = Store(source), Store(target)
         for batch in batches:
-            for name, at in zip(batch.column("name").to_pylist(), batch.column("at").to_pylist()):
+            for number in batch.column("id").to_pylist():
+                name, at = names[number // each], tuple(map(int, np.unravel_index(number % each, grid)))
                 a, b = store.array(name), made.array(name)
                 begin = tuple(x + i * c for x, i, c in zip(low, at, size))
                 end = tuple(x + min((i + 1) * c, s) for x, i, c, s in zip(low, at, size, shape))
@@ -62,11 +62,12 @@ def rewrite(spark: SparkSession, source: str, target: str, image: str, chunk: di
                     part = rounded_mantissa(part, mantissa)
                 whole = np.full(size, b.fill_value(part.dtype), part.dtype)
                 whole[tuple(slice(0, n) for n in part.shape)] = part
-                file = Path(target) / name / b.key(tuple(at))
+                file = Path(target) / name / b.key(at)
                 file.parent.mkdir(parents=True, exist_ok=True)
                 file.write_bytes(cc.encode(whole, b.codecs))
             yield pa.RecordBatch.from_pydict({"done": [batch.num_rows]})
 
     write_group(out, dataset.store.attributes)
-    frame = reachable(spark).createDataFrame(jobs, "name string, at array<int>")
-    frame.repartition(max(1, min(len(jobs), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(written, "done bigint").count()
+    # Chunks are numbered; a task has a range of numbers.
+    jobs = len(names) * each
+    reachable(spark).range(0, jobs, 1, max(1, min(jobs, max(4 * spark.sparkContext.defaultParallelism, jobs // 1024)))).mapInArrow(written, "done bigint").count()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import stat
 import time
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -280,15 +281,37 @@ class Store:
                     out.append(Node(name, "array", error=e))
         return out
 
-    def size(self, timeout: float = 0.05) -> tuple[int, str]:
-        """(bytes, "measured") by walking the files, or the arrays' declared bytes if that takes too long."""
-        end, total = time.monotonic() + timeout, 0
-        for folder, _, names in os.walk(self.root):
+    def stored_bytes(self, end: float | None = None) -> int:
+        """The sizes of all regular files; ``cancelled`` once the clock passes end, ``io_error`` if a folder does not list or the sum is no signed 64-bit number."""
+
+        def fail(e: OSError):
+            raise CubeError("io_error", str(e)) from e
+
+        total = 0
+        for folder, _, names in os.walk(self.root, onerror=fail):
             for n in names:
-                if time.monotonic() > end:
-                    return sum(self.array(x.name).declared_bytes for x in self.nodes() if x.kind == "array"), "declared"
-                total += os.lstat(os.path.join(folder, n)).st_size
-        return total, "measured"
+                if end is not None and time.monotonic() > end:
+                    raise CubeError("cancelled", "the files were not counted in time")
+                try:
+                    found = os.lstat(os.path.join(folder, n))
+                except OSError as e:
+                    fail(e)
+                if stat.S_ISREG(found.st_mode):
+                    total += found.st_size
+        if total >= 1 << 63:
+            raise CubeError("io_error", "the files' sizes overflow")
+        return total
+
+    def declared_bytes(self) -> int:
+        """What all arrays hold decoded; an array that does not parse refuses."""
+        return sum(self.array(x.name).declared_bytes for x in self.nodes() if x.kind == "array")
+
+    def size(self, timeout: float = 0.05) -> tuple[int, str]:
+        """(bytes, "measured") by walking the files, or the arrays' declared bytes if that takes too long or fails."""
+        try:
+            return self.stored_bytes(time.monotonic() + timeout), "measured"
+        except CubeError:
+            return self.declared_bytes(), "declared"
 
     def chunk(self, node: str, meta: ArrayMeta, at: tuple[int, ...]) -> np.ndarray:
         """One stored chunk or shard in full size; one that was never written holds the fill value."""
@@ -322,6 +345,21 @@ class Store:
             raise CubeError("unsupported_data_type", f"{meta.type_name} is not a real type", node)
         return self.box(node, meta, (0,) * len(meta.shape), meta.shape).astype(np.float64)
 
+    def at(self, node: str, **indices: int) -> float:
+        """One element of an array of a real type by the names of its dimensions; 0 where one is not named."""
+        meta = self.verified(node)
+        if meta.type_name not in cc.REAL:
+            raise CubeError("unsupported_data_type", f"{meta.type_name} is not a real type", node)
+        if len(meta.dims) != len(meta.shape):
+            raise CubeError("invalid_metadata", "the dimensions have no names", node)
+        for name, i in indices.items():
+            if name not in meta.dims:
+                raise CubeError("invalid_slice", f"no dimension {name}", node)
+            if not 0 <= i < meta.shape[meta.dims.index(name)]:
+                raise CubeError("invalid_slice", f"index {i} is outside {name}", node)
+        begin = tuple(indices.get(d, 0) for d in meta.dims)
+        return float(self.box(node, meta, begin, tuple(i + 1 for i in begin)).ravel()[0])
+
     def labels(self, node: str) -> list[str]:
         """A one-dimensional array of labels."""
         meta = self.verified(node)
