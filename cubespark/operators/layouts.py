@@ -10,15 +10,32 @@ from pyspark.sql import functions as F
 GROUP = ["label", "dataset", "setting", "users", "mode", "method"]
 
 
-def p90(x: Column) -> Column:
-    """The nearest-rank 90th percentile."""
-    ordered = F.sort_array(F.collect_list(x))
-    return F.get(ordered, (F.ceil(F.size(ordered) * 0.9) - 1).cast("int"))
+#: Ranks (from 1) among n values in order: the nearest-rank 90th percentile, the upper median, the two values about the middle.
+P90 = lambda n: F.ceil(n * 0.9)
+UPPER = lambda n: F.floor(n / 2) + 1
+MIDDLE = (lambda n: F.floor((n + 1) / 2), lambda n: F.floor(n / 2) + 1)
 
 
-def upper_median(x: Column) -> Column:
-    ordered = F.sort_array(F.collect_list(x))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def by_rank(rows: DataFrame, group: list[str], value: str, ranks: dict, inner: dict[str, Column] | None = None, outer: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each group: the values of those ranks, exact, and other aggregates of the same rows.
+
+    Equal values of a group are counted first, in every task; the group is then a running sum over its
+    distinct values, sorted (and spilled) by the engine, and never one row or one buffer.  Null values have no rank.
+
+    ranks: name -> rank of a count; inner: aggregates by (group, value); outer: aggregates over those.
+    """
+    counted = rows.groupBy(*group, value).agg(F.count(F.col(value)).alias("_n"), *[c.alias(n) for n, c in (inner or {}).items()])
+    whole = Window.partitionBy(*group)
+    upto = F.sum("_n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"_upto": upto, "_all": F.sum("_n").over(whole)})
+    found = {n: F.min(F.when((F.col("_n") > 0) & (F.col("_upto") >= r(F.col("_all"))), F.col(value))) for n, r in ranks.items()}
+    return placed.groupBy(*group).agg(*[c.alias(n) for n, c in (found | (outer or {})).items()])
+
+
+def order_statistics(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, median, p90, upper_median) of a column."""
+    found = by_rank(rows, group, value, {"low": MIDDLE[0], "upper_median": UPPER, "p90": P90})
+    return found.select(*group, ((F.col("low") + F.col("upper_median")) / 2).alias("median"), "p90", "upper_median")
 
 
 def effective_seconds(rows: DataFrame) -> DataFrame:
@@ -35,17 +52,19 @@ def first_touch_sample(rows: DataFrame, group: list[str] = GROUP, comparison: st
 
 def summary(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """By group: operations, errors, timeouts, median, p90, least, rate and makespan."""
-    t = effective_seconds(rows)
-    return t.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("ops"),
-        F.count_if(F.col("status") == "error").alias("errors"),
-        F.count_if(F.col("status") == "timeout").alias("timeouts"),
-        F.median("time").alias("median_s"),
-        p90(F.col("time")).alias("p90_s"),
-        F.min("time").alias("min_s"),
-        (F.sum("logical_bytes") / 1048576 / F.sum(F.when(F.col("status") == "ok", F.col("seconds")))).alias("mib_s"),
-        (F.max("t_end_s") - F.min("t_start_s")).alias("makespan_s"),
-    )
+    is_ = lambda x: F.col("status") == x
+    inner = {
+        "rows": F.count(F.lit(1)),
+        "errors": F.count_if(is_("error")),
+        "timeouts": F.count_if(is_("timeout")),
+        "bytes": F.sum("logical_bytes"),
+        "ok_s": F.sum(F.when(is_("ok"), F.col("seconds"))),
+        "end": F.max("t_end_s"),
+        "start": F.min("t_start_s"),
+    }
+    outer = {"ops": F.sum("rows"), "errors": F.sum("errors"), "timeouts": F.sum("timeouts"), "bytes": F.sum("bytes"), "ok_s": F.sum("ok_s"), "makespan_s": F.max("end") - F.min("start"), "min_s": F.min("time")}
+    found = by_rank(effective_seconds(rows), group, "time", {"low": MIDDLE[0], "high": MIDDLE[1], "p90_s": P90}, inner, outer)
+    return found.select(*group, "ops", "errors", "timeouts", ((F.col("low") + F.col("high")) / 2).alias("median_s"), "p90_s", "min_s", (F.col("bytes") / 1048576 / F.col("ok_s")).alias("mib_s"), "makespan_s")
 
 
 def scores(times: DataFrame, weights: DataFrame, layout: str = "setting", mode: str = "mode") -> DataFrame:
@@ -58,20 +77,32 @@ def scores(times: DataFrame, weights: DataFrame, layout: str = "setting", mode:
 
 def _front(costs: np.ndarray) -> np.ndarray:
     """The rows that no other row beats, of distinct rows."""
-    order = np.lexsort(costs.T[::-1])
-    front: list[int] = []
-    best = np.empty((0, costs.shape[1]))
-    for i in order.tolist():  # in lexical order only an earlier row can beat a later one
-        if not (best <= costs[i]).all(axis=1).any():
-            front.append(i)
-            best = np.vstack([best, costs[i]])
-    return costs[front]
-
-
-def pareto(points: DataFrame, costs: list[str]) -> DataFrame:
+    left, front = costs[np.lexsort(costs.T[::-1])], []  # in lexical order the first row is beaten by none
+    while len(left):
+        front.append(left[0])
+        left = left[(left < left[0]).any(axis=1)]
+    return np.array(front).reshape(-1, costs.shape[1])
+
+
+def _front_of_two(points: DataFrame, a: str, b: str, slices: int) -> DataFrame:
+    """The front by two costs, in slices of the first by its quantiles: a point stays if its second cost is below all of the
+    slices before and of the points before it in its own.  What crosses slices is one number for each."""
+    cuts = points.agg(F.percentile_approx(a, [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []
+    cuts = sorted(set(cuts))
+    listed = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>") if cuts else None
+    cut = points.withColumn("slice", F.size(F.filter(listed, lambda c: c < F.col(a))) if cuts else F.lit(0))
+    low = cut.groupBy("slice").agg(F.min(b).alias("low"))
+    before = low.select("slice", F.min("low").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # a row a slice
+    own = Window.partitionBy("slice").orderBy(a, b).rowsBetween(Window.unboundedPreceding, -1)
+    best = cut.join(F.broadcast(before), "slice").withColumn("best", F.least(F.min(b).over(own), F.col("before")))
+    return best.filter(F.col("best").isNull() | (F.col(b) < F.col("best"))).select(a, b)
+
+
+def pareto(points: DataFrame, costs: list[str], slices: int = 256) -> DataFrame:
     """Points that no other beats in one cost without being worse in another; equal points stand together, and points with a null cost are out.
 
-    Fronts of partitions come first, then fronts of those in ever fewer tasks: what moves is a front, not the points.
+    Two costs: slices of the first, with the engine's windows.  More: fronts of partitions come first, then
+    fronts of those in ever fewer tasks, so that what moves is a front, not the points; the whole front has to fit the last task.
     """
     kinds = ", ".join(f"{c} double" for c in costs)
 
@@ -84,8 +115,11 @@ def pareto(points: DataFrame, costs: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], names=costs)
 
     front = points.select(*[F.col(c).cast("double").alias(c) for c in costs]).dropna().distinct()
-    for parts in (None, 64, 8, 1):
-        front = (front.repartition(parts) if parts else front).mapInArrow(fronts, kinds)
+    if len(costs) == 2:
+        front = _front_of_two(front, *costs, slices)
+    else:
+        for parts in (None, 64, 8, 1):
+            front = (front.repartition(parts) if parts else front).mapInArrow(fronts, kinds)
     named = front.toDF(*[f"front_{c}" for c in costs])
     same = None
     for c in costs:
@@ -100,20 +134,22 @@ def checksum_mismatches(rows: DataFrame, position: list[str]) -> DataFrame:
 
 
 def shared_chunks(boxes: DataFrame) -> DataFrame:
-    """Operations (process, op, chunk boxes c0..c1 by axis x, y, z, ends exclusive) that share a chunk with an earlier one of their process or any of another.
+    """(process, op, shares_chunks) of operations (process, op, chunk boxes c0..c1 by axis x, y, z, ends exclusive): whether one shares a chunk with an earlier one of its process or any of another.
 
-    Boxes are laid out as chunks, so that two that meet share a key; a chunk that many touch is one
-    aggregate, not a pair for each two.
+    Boxes are laid out as chunks, so that two that meet share a key; what a process first does with a chunk
+    is one row, however many operations touch it, and a join takes that back to them.
     """
-    cells = boxes
-    for a in "xyz":
-        cells = cells.withColumn(a, F.explode(F.sequence(f"{a}0", F.col(f"{a}1") - 1)))
-    by = cells.groupBy("x", "y", "z").agg(F.min(F.struct("process", "op")).alias("lo"), F.max(F.struct("process", "op")).alias("hi"), F.count_distinct("process").alias("processes"))
-    first = cells.groupBy("x", "y", "z", "process").agg(F.min("op").alias("first_op"))
-    joined = cells.join(by, ["x", "y", "z"]).join(first, ["x", "y", "z", "process"])
-    shares = (F.col("processes") > 1) | (F.col("op") > F.col("first_op"))
-    found = joined.groupBy("process", "op").agg(F.bool_or(shares).alias("shares_chunks"))
-    return boxes.select("process", "op").join(found, ["process", "op"], "left")
+    size = {a: F.col(f"{a}1") - F.col(f"{a}0") for a in "xyz"}
+    cells = F.explode(F.sequence(F.lit(0), size["x"] * size["y"] * size["z"] - 1))
+    at = boxes.filter((size["x"] > 0) & (size["y"] > 0) & (size["z"] > 0)).select("process", "op", "x0", "y0", "z0", size["x"].alias("w"), size["y"].alias("h"), cells.alias("i"))
+    laid = at.select("process", "op", (F.col("x0") + F.col("i") % F.col("w")).alias("x"), (F.col("y0") + F.floor(F.col("i") / F.col("w")) % F.col("h")).alias("y"), (F.col("z0") + F.floor(F.col("i") / (F.col("w") * F.col("h")))).alias("z"))
+    own = laid.groupBy("x", "y", "z", "process").agg(F.min("op").alias("first_op"))
+    chunk = Window.partitionBy("x", "y", "z")
+    first = own.select("x", "y", "z", "process", "first_op", (F.min("process").over(chunk) != F.max("process").over(chunk)).alias("many"))
+    joined = laid.join(first, ["x", "y", "z", "process"]).select("process", "op", (F.col("many") | (F.col("op") > F.col("first_op"))).alias("shares"))
+    # Boxes that touch nothing share nothing.
+    every = joined.unionByName(boxes.select("process", "op", F.lit(False).alias("shares")))
+    return every.groupBy("process", "op").agg(F.bool_or("shares").alias("shares_chunks"))
 
 
 def late_frames(frames: DataFrame, fps: float, key: str = "player") -> DataFrame:
@@ -125,15 +161,12 @@ def late_frames(frames: DataFrame, fps: float, key: str = "player") -> DataFrame
     """
     step = 1.0 / fps
     f = frames.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("frame")))
-    took = F.when(F.col("i") > 1, F.col("took"))
-    return f.groupBy(key).agg(
-        F.count(F.lit(1)).alias("frames"),
-        F.count_if(took > step).alias("late_frames"),
-        F.greatest(F.lit(0.0), F.coalesce(F.max(took) - step, F.lit(0.0))).alias("late_max_s"),
-        F.max(F.when(F.col("i") == 1, F.col("took"))).alias("frame_first_s"),
-        upper_median(took).alias("frame_median_s"),
-        F.max(took).alias("frame_max_s"),
-    )
+    f = f.select(key, F.when(F.col("i") > 1, F.col("took")).alias("later"), F.when(F.col("i") == 1, F.col("took")).alias("first"))
+    inner = {"rows": F.count(F.lit(1)), "late": F.count_if(F.col("later") > step), "begun": F.max("first")}
+    outer = {"frames": F.sum("rows"), "late_frames": F.sum("late"), "frame_first_s": F.max("begun"), "frame_max_s": F.max("later")}
+    found = by_rank(f, [key], "later", {"frame_median_s": UPPER}, inner, outer)
+    late = F.greatest(F.lit(0.0), F.coalesce(F.col("frame_max_s") - step, F.lit(0.0))).alias("late_max_s")
+    return found.select(key, "frames", "late_frames", late, "frame_first_s", "frame_median_s", "frame_max_s")
 
 
 def model_fit(rows: DataFrame) -> DataFrame:
@@ -167,11 +200,39 @@ def fingerprint(pixels: DataFrame, indices: list[str]) -> DataFrame:
 
 
 def robust_noise(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, nan_fraction, rms, beyond): share of NaN, 1.4826 times the median deviation from the median, share of values over 5 such away."""
+    """(keys, nan_fraction, rms, beyond): share of NaN, 1.4826 times the median deviation from the median, share of values over 5 such away.
+
+    Groups without a finite value are told too: all NaN, the other two null.  Equal values are counted
+    first; the rest are running sums within a group, on one shuffle.
+    """
     v = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value").cast("double"))
-    clean = values.select(*keys, v.alias("v"))
-    middle = clean.groupBy(*keys).agg(F.percentile("v", 0.5).alias("middle"), F.avg(F.col("v").isNull().cast("double")).alias("nan_fraction"))
-    away = clean.join(middle, keys).withColumn("d", F.abs(F.col("v") - F.col("middle")))
-    rms = away.groupBy(*keys).agg((F.percentile("d", 0.5) * 1.4826).alias("rms"))
-    beyond = away.join(rms, keys).groupBy(*keys, "nan_fraction", "rms").agg(F.avg((F.col("d") > 5 * F.col("rms")).cast("double")).alias("beyond"))
-    return beyond
+    counted = values.select(*keys, v.alias("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("m"))
+    whole = Window.partitionBy(*keys)
+    total = F.sum("m").over(whole)
+
+    def median(c: str) -> tuple[Column, list[Column]]:
+        upto = F.sum("m").over(whole.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+        return upto, [F.when((F.col("m") > 0) & (F.col("upto") >= r(F.col("total"))), F.col(c)) for r in MIDDLE]
+
+    upto, both = median("v")
+    placed = counted.withColumns({"upto": upto, "total": total})
+    placed = placed.withColumn("middle", (F.min(both[0]).over(whole) + F.min(both[1]).over(whole)) / 2).withColumn("d", F.abs(F.col("v") - F.col("middle")))
+    upto, both = median("d")
+    placed = placed.withColumn("upto", upto)
+    placed = placed.withColumn("rms", (F.min(both[0]).over(whole) + F.min(both[1]).over(whole)) / 2 * 1.4826)
+    beyond = F.sum(F.when(F.col("d") > 5 * F.col("rms"), F.col("m")).otherwise(0)) / F.nullif(F.sum("m"), F.lit(0))
+    return placed.groupBy(*keys).agg((F.sum(F.col("n") - F.col("m")) / F.sum("n")).alias("nan_fraction"), F.max("rms").alias("rms"), beyond.alias("beyond"))
+
+
+def noise_summary(noise: DataFrame) -> DataFrame:
+    """One row over the channels of ``robust_noise``: the medians of its measures, each over the channels that have it, and how many channels hold nothing but NaN."""
+    medians = [F.percentile(n, 0.5).alias(n) for n in ("nan_fraction", "rms", "beyond")]  # a value a channel
+    return noise.agg(F.count(F.lit(1)).alias("channels"), F.count_if(F.col("nan_fraction") == 1).alias("all_nan_channels"), *medians)
+
+
+def nan_chunks(pixels: DataFrame, chunk: dict[str, int]) -> DataFrame:
+    """(chunks, all_nan_chunks): how many chunks there are, and how many have no finite pixel."""
+    at = [F.floor(F.col(c) / chunk[r]).alias(f"c_{c}") for r, c in (("x", "x"), ("y", "y"), ("spectral", "channel"))]
+    finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
+    found = pixels.select("time", "polarization", *at, finite.alias("finite")).groupBy("time", "polarization", "c_x", "c_y", "c_channel").agg(F.bool_or("finite").alias("some"))
+    return found.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(~F.col("some")).alias("all_nan_chunks"))

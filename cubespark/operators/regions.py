@@ -47,6 +47,11 @@ def runs_of(regions: DataFrame) -> DataFrame:
     return regions.mapInArrow(decoded, RUNS)
 
 
+def most_runs(regions: list[Region]) -> int:
+    """A bound on how many runs the regions have: one a line of a box, one for every second place of a raster."""
+    return sum(r.height * (-(-r.width // 2) if r.mask else 1) for r in regions)
+
+
 def islands(selected: DataFrame) -> DataFrame:
     """Runs of a table of selected pixels (region_id, y, x), by SQL alone."""
     line = Window.partitionBy("region_id", "y").orderBy("x")
@@ -58,13 +63,14 @@ def islands(selected: DataFrame) -> DataFrame:
     )
 
 
-def contained(pixels: DataFrame, runs: DataFrame, broadcast_rows: int = 1 << 20) -> DataFrame:
+def contained(pixels: DataFrame, runs: DataFrame, broadcast_rows: int = 1 << 20, most_runs: int | None = None) -> DataFrame:
     """Every pixel once for each region that selects it.
 
-    An equi-join on y with the run's bounds behind it.  Runs are broadcast only if counting them
-    finds few; else both sides are also cut in blocks of x, so that a row of the plane is no hot key.
+    An equi-join on y with the run's bounds behind it.  Runs are broadcast only if a bound that the
+    caller knows, or else counting them, says that there are few; otherwise both sides are also cut in
+    blocks of x, so that a row of the plane is no hot key.
     """
-    few = runs.limit(broadcast_rows + 1).count() <= broadcast_rows
+    few = (runs.limit(broadcast_rows + 1).count() if most_runs is None else most_runs) <= broadcast_rows
     bounds = (F.col("x") >= F.col("x_begin")) & (F.col("x") < F.col("x_end"))
     if few:
         return pixels.join(F.broadcast(runs.withColumnRenamed("y", "run_y")), (F.col("y") == F.col("run_y")) & bounds).drop("run_y", "x_begin", "x_end")

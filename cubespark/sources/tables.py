@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Axis, CubeMeta
+from ..model import Axis, CubeMeta, Range
 from ..session import reachable
 
 WIDTH, HEIGHT = 64, 25
@@ -16,9 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vector_pixels(vectors: DataFrame) -> DataFrame:
-    """Vectors (vec_id, embedding) as pixels: x along the vector, 25 vectors a plane; every seventh channel from 3 on is a hole of NaN."""
-    at = vectors.select("vec_id", F.posexplode("embedding").alias("x", "v"))
+def vector_pixels(vectors: DataFrame, channels: Range | None = None, x: Range | None = None) -> DataFrame:
+    """Vectors (vec_id, embedding) as pixels: x along the vector, 25 vectors a plane; every seventh channel from 3 on is a hole of NaN.
+
+    channels, x: bounds of what is read (their strides are left to the operators): the former become
+    bounds of vec_id, which the scan prunes by, the latter the part of each vector that is unfolded.
+    """
+    if channels is not None:
+        vectors = vectors.filter(F.col("vec_id").between(channels.start * HEIGHT, (channels.last + 1) * HEIGHT - 1))
+    first = 0 if x is None else x.start
+    part = F.col("embedding") if x is None else F.slice("embedding", x.start + 1, x.last - x.start + 1)
+    at = vectors.select("vec_id", F.posexplode(part).alias("place", "v")).select("vec_id", (F.col("place") + first).alias("x"), "v")
     channel = F.floor(F.col("vec_id") / HEIGHT).cast("int")
     y = (F.col("vec_id") % HEIGHT).cast("int")
     return at.select(
@@ -32,8 +40,9 @@ def vector_pixels(vectors: DataFrame) -> DataFrame:
     )
 
 
-def vector_cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, CubeMeta]:
+def vector_cube(spark: SparkSession, sf_dir: str, **bounds: Range) -> tuple[DataFrame, CubeMeta]:
+    """The pixels and their description.  Vectors are numbered from 0 without gaps, so the count, which the files' footers hold, gives the channels."""
     vectors = table(spark, sf_dir, "embeddings")
-    channels = vectors.agg(F.max("vec_id")).first()[0] // HEIGHT + 1
+    channels = -(-vectors.count() // HEIGHT)
     axes = (Axis("l", "x", WIDTH, 4), Axis("m", "y", HEIGHT, 3), Axis("frequency", "spectral", channels, 1), Axis("polarization", "polarization", 1, 2), Axis("time", "time", 1, 0))
-    return vector_pixels(vectors), CubeMeta(axes, CHUNK)
+    return vector_pixels(vectors, **bounds), CubeMeta(axes, CHUNK)
