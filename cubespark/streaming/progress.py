@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
 import threading
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CubeError
 from ..functions.pixels import good
 from ..model import CubeMeta, PlaneSelection, Range, Statistic
-from ..operators.reduce import spectral_reduce
+from ..operators.histogram import Provisional, provisional_bins, provisional_states
+from ..operators.reduce import aggregates, spectral_reduce
+from ..operators.regions import contained
 from ..operators.selection import hyperslab, within
 from ..sources.cube import SCHEMA
 
@@ -61,8 +66,8 @@ def cuts(count: int, chunk: int, most: int) -> list[tuple[int, int]]:
     return [(a, min(a + step, count)) for a in range(0, count, step)]
 
 
-def read_in_pieces(pixels: DataFrame, cube: CubeMeta, ranges: dict[str, Range], progress: Callable[[int, int], bool], mask: bool = True) -> Iterator[list]:
-    """Rows of a hyperslab in logical order, piece by piece along the slowest axis that has more than one element.
+def read_in_pieces(pixels: DataFrame, cube: CubeMeta, ranges: dict[str, Range], progress: Callable[[int, int], bool], mask: bool = True) -> Iterator[pa.Table]:
+    """Pixels of a hyperslab in logical order as Arrow tables, piece by piece along the slowest axis that has more than one element.
 
     What was handed over is always a prefix; progress(elements so far, all) that returns False stops with ``cancelled``.
     """
@@ -73,8 +78,8 @@ def read_in_pieces(pixels: DataFrame, cube: CubeMeta, ranges: dict[str, Range],
     r, done = ranges[slowest.role], 0
     for a, b in cuts(r.count, max(1, cube.chunk_of(slowest.role) // r.stride), max(1, cube.chunk_of(slowest.role) // r.stride * WATCHED_CHUNKS)):
         part = ranges | {slowest.role: Range(r.start + a * r.stride, b - a, r.stride)}
-        rows = hyperslab(pixels, cube, part, mask).orderBy("time", "polarization", "channel", "y", "x").collect()
-        done += len(rows)
+        rows = hyperslab(pixels, cube, part, mask).orderBy("time", "polarization", "channel", "y", "x").toArrow()
+        done += rows.num_rows
         yield rows
         if not progress(done, total):
             raise CubeError("cancelled", f"stopped after {done} of {total} elements")
@@ -103,29 +108,69 @@ def pixel_stream(spark: SparkSession, folder: str, per_batch: int = 1) -> DataFr
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def running_statistics(stream: DataFrame, planes: PlaneSelection | None = None) -> DataFrame:
-    """By channel the statistics of what has arrived: partial until the stream ends, each update a full result so far.
+def running_statistics(stream: DataFrame, planes: PlaneSelection | None = None, runs: DataFrame | None = None, most_runs: int | None = None) -> DataFrame:
+    """By channel, or by region and channel, the statistics of what has arrived: partial until the stream ends, each update a full result so far.
 
-    Groups are channels, so the state is bounded by the cube's spectral axis; moments merge (Chan), as the engine's
-    variance does.
+    Groups are channels (of each region), so the state is as large as what is asked for; moments merge as the engine's variance does.
     """
     chosen = stream if planes is None else stream.filter((F.col("time") == planes.time) & (F.col("polarization") == planes.polarization) & within("channel", planes.channels))
-    v = good(F.col("value"), F.col("flagged"))
-    return chosen.groupBy("channel").agg(F.count(v).alias("num_pixels"), (F.count(F.lit(1)) - F.count(v)).alias("nan_count"), F.sum(v).alias("sum"), F.sum(v * v).alias("sum_sq"), F.min(v).alias("min"), F.max(v).alias("max"))
+    keys, v = ["channel"], good(F.col("value"), F.col("flagged"))
+    if runs is not None:
+        keys, chosen = ["region_id", "channel"], contained(chosen, runs, most_runs=most_runs)
+    return chosen.select(*keys, v.alias("v")).groupBy(*keys).agg(*aggregates(Statistic.all()))
+
+
+def _handed(changed: DataFrame, expected, sink: Callable[[DataFrame, int], None], checkpoint: str):
+    def each(batch: DataFrame, number: int) -> None:
+        seen = F.col("num_pixels") + F.col("nan_count")
+        full, wanted = expected(batch)
+        sink(full.withColumns({"completeness": seen / wanted, "complete": seen >= wanted}).select(*batch.columns, "completeness", "complete"), number)
+
+    return changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
 
 
 def stream_blocks(stream: DataFrame, pixels_per_channel: int, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts the running statistics; each micro-batch hands the sink the channels that changed, with completeness and complete."""
+    return _handed(running_statistics(stream), lambda batch: (batch, F.lit(pixels_per_channel)), sink, checkpoint)
 
-    def each(batch: DataFrame, number: int) -> None:
-        seen = F.col("num_pixels") + F.col("nan_count")
-        sink(batch.withColumns({"completeness": seen / pixels_per_channel, "complete": seen >= pixels_per_channel}), number)
 
-    return running_statistics(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+def stream_region_blocks(stream: DataFrame, runs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, most_runs: int | None = None):
+    """The same by region and channel: complete once as many pixels have arrived as the region selects of a plane."""
+
+    def expected(batch: DataFrame):
+        wanted = runs.groupBy("region_id").agg(F.sum(F.col("x_end") - F.col("x_begin")).alias("wanted"))
+        return batch.join(wanted, "region_id"), F.col("wanted")
+
+    return _handed(running_statistics(stream, runs=runs, most_runs=most_runs), expected, sink, checkpoint)
 
 
 def histogram_snapshots(stream: DataFrame, bins, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """A histogram of all that has arrived, handed over whole after every micro-batch."""
+    """A histogram over given bins of all that has arrived, handed over whole after every micro-batch."""
     at = bins.index(F.when(~F.coalesce("flagged", F.lit(False)), F.col("value")))
     counts = stream.select(at.alias("bin")).filter("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     return counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+
+
+def growing_snapshots(stream: DataFrame, bin_count: int, sink: Callable[[Provisional, int], None], checkpoint: str, provisional: int = 0):
+    """The one-pass histogram of all that has arrived, over its own range and with all totals, after every micro-batch.
+
+    What is kept is one state of a fixed number of bins.  It is written beside the stream's checkpoint before it
+    is handed over, one file a batch, so that a stream that starts again goes on from the last batch that counted.
+    """
+    size = provisional_bins(bin_count, provisional)
+    folder = Path(checkpoint.removeprefix("file://")) / "histogram"
+    folder.mkdir(parents=True, exist_ok=True)
+
+    def each(batch: DataFrame, number: int) -> None:
+        v = good(F.col("value"), F.col("flagged"))
+        states = provisional_states(batch.select(F.when(v.isNotNull(), F.col("value").cast("float")).alias("value")), size).collect()
+        before = folder / f"{number - 1}"
+        total = pickle.loads(before.read_bytes()) if before.exists() else Provisional(size)
+        for s in states:
+            total.merge(pickle.loads(s["state"]))
+        part = folder / f".{number}"
+        part.write_bytes(pickle.dumps(total))
+        part.replace(folder / f"{number}")
+        sink(total, number)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
