@@ -5,31 +5,18 @@ from __future__ import annotations
 import inspect
 
 from . import cube_queries as cube
+from . import store_queries as stores
 from . import table_queries as tables
+from .cube_sql import BIN, BOXES, CHANNELS, HISTOGRAM, PIXELS, RASTER, STATS, histogram_of
+from .store_sql import SQL
 
-QUERIES = {n: f for m in (cube, tables) for n, f in inspect.getmembers(m, inspect.isfunction) if f.__module__ == m.__name__ and not n.startswith("_")}
-
-#: The cube of ``embeddings`` as SQL: v is the value where good, raw where stored.
-PIXELS = """px AS (
-    SELECT vec_id // 25 AS channel, vec_id % 25 AS y, x, CASE WHEN (vec_id // 25) % 7 = 3 THEN NULL ELSE e::FLOAT END AS raw,
-        (x + vec_id % 25) % 3 = 0 AS flagged, CASE WHEN (vec_id // 25) % 7 = 3 OR (x + vec_id % 25) % 3 = 0 THEN NULL ELSE e::FLOAT END AS v
-    FROM (SELECT vec_id, unnest(range(len(embedding))) AS x, unnest(embedding) AS e FROM embeddings))"""
-BOXES = """rg AS (SELECT * FROM (VALUES (0, 2, 22, 3, 13), (1, 10, 50, 8, 20)) r(region_id, x0, x1, y0, y1)),
-    sel AS (SELECT region_id, channel, raw, v FROM px JOIN rg ON x >= x0 AND x < x1 AND y >= y0 AND y < y1)"""
-RASTER = """rs AS (
-    SELECT 0 AS region_id, x, y FROM range(10, 31) a(x), range(2, 23) b(y) WHERE (x - 20) * (x - 20) * 100 + (y - 12) * (y - 12) * 100 <= 10000
-    UNION ALL SELECT 1, x, y FROM range(30, 60) a(x), range(0, 25) b(y) WHERE (x - 45) * (x - 45) * 36 + (y - 12) * (y - 12) * 225 <= 8100)"""
-_STATS = """count(v) AS num_pixels, count(*) - count(v) AS nan_count, round(coalesce(sum(v::DOUBLE), 0), 6) AS sum,
-    round(coalesce(sum(v::DOUBLE * v::DOUBLE), 0), 6) AS sum_sq, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max,
-    round(coalesce(var_pop(v::DOUBLE) * count(v), 0), 6) AS sum_sq_dev"""
-_BIN = lambda v, lo, w, n: f"least(floor(({v} - {lo}::FLOAT)::FLOAT / {w}::FLOAT)::INT, {n - 1})"
-_CHANNELS = "ch AS (SELECT DISTINCT vec_id // 25 AS channel FROM embeddings)"
+QUERIES = {n: f for m in (cube, tables, stores) for n, f in inspect.getmembers(m, inspect.isfunction) if f.__module__ == m.__name__ and not n.startswith("_")}
 
 ORACLE_SQL: dict[str, str] = {
-    "spectral_reduce": f"WITH {PIXELS}, {BOXES} SELECT region_id, channel AS sel_channel, {_STATS} FROM sel GROUP BY ALL",
-    "spectral_reduce_masked": f"""WITH {PIXELS}, {RASTER}, {_CHANNELS},
+    "spectral_reduce": f"WITH {PIXELS}, {BOXES} SELECT region_id, channel AS sel_channel, {STATS} FROM sel GROUP BY ALL",
+    "spectral_reduce_masked": f"""WITH {PIXELS}, {RASTER}, {CHANNELS},
         sel AS (SELECT region_id, channel, v FROM px JOIN rs USING (x, y)),
-        found AS (SELECT region_id, channel, {_STATS} FROM sel GROUP BY ALL)
+        found AS (SELECT region_id, channel, {STATS} FROM sel GROUP BY ALL)
         SELECT g.region_id, g.channel AS sel_channel, coalesce(num_pixels, 0) AS num_pixels, coalesce(nan_count, 0) AS nan_count, coalesce(sum, 0) AS sum,
             coalesce(sum_sq, 0) AS sum_sq, min, max, coalesce(sum_sq_dev, 0) AS sum_sq_dev
         FROM (SELECT region_id, channel FROM range(3) r(region_id), ch) g LEFT JOIN found USING (region_id, channel)""",
@@ -42,15 +29,12 @@ ORACLE_SQL: dict[str, str] = {
         WHERE x BETWEEN 3 AND 48 AND (x - 3) % 5 = 0 AND y BETWEEN 1 AND 22 AND (y - 1) % 3 = 0 AND channel <= 8 AND channel % 2 = 0""",
     "mask_fold_counts": f"WITH {PIXELS} SELECT channel, count(v) AS kept, count(raw) AS stored, count(*) FILTER (flagged) AS flagged FROM px GROUP BY channel",
     "spatial_sample": f"WITH {PIXELS} SELECT channel, count(*) AS pixels, max(x) AS last_x, max(y) AS last_y FROM px WHERE x % 4 = 0 AND y % 4 = 0 GROUP BY channel",
-    "logical_order": f"WITH {PIXELS} SELECT channel * 1600 + y * 64 + x AS place, channel, y, x, raw::DOUBLE AS value FROM px ORDER BY channel, y, x LIMIT 50",
-    "plane_histogram": f"""WITH {PIXELS}, {_CHANNELS}, c AS (SELECT channel, {_BIN("v", -1.0, 0.04, 50)} AS bin, count(*) AS n FROM px WHERE v BETWEEN -1 AND 1 GROUP BY ALL)
-        SELECT channel AS sel_channel, bin, coalesce(n, 0) AS count FROM (SELECT channel, bin FROM ch, range(50) b(bin)) LEFT JOIN c USING (channel, bin)""",
-    "plane_histogram_degenerate": f"""WITH {PIXELS}, {_CHANNELS}, c AS (SELECT channel, 0 AS bin, count(*) AS n FROM px WHERE v IS NOT NULL AND round(v::DOUBLE, 1) = 0.5 GROUP BY ALL)
+    "logical_order": f"WITH {PIXELS} SELECT channel * 1600 + y * 64 + x AS place, channel, y, x, raw::DOUBLE AS value FROM px ORDER BY channel, y, x",
+    "plane_histogram": HISTOGRAM,
+    "plane_histogram_degenerate": f"""WITH {PIXELS}, {CHANNELS}, c AS (SELECT channel, 0 AS bin, count(*) AS n FROM px WHERE v IS NOT NULL AND round(v::DOUBLE, 1) = 0.5 GROUP BY ALL)
         SELECT channel AS sel_channel, bin, coalesce(n, 0) AS count FROM (SELECT channel, bin FROM ch, range(3) b(bin)) LEFT JOIN c USING (channel, bin)""",
-    "cube_totals": f"WITH {PIXELS} SELECT {_STATS} FROM px",
-    "cube_histogram_exact": f"""WITH {PIXELS}, r AS (SELECT min(v) AS lo, max(v) AS hi, ((max(v)::DOUBLE - min(v)::DOUBLE) / 40)::FLOAT AS w FROM px),
-        c AS (SELECT least(floor((v - lo)::FLOAT / w)::INT, 39) AS bin, count(*) AS n FROM px, r WHERE v IS NOT NULL GROUP BY ALL)
-        SELECT bin, coalesce(n, 0) AS count FROM range(40) b(bin) LEFT JOIN c USING (bin)""",
+    "cube_totals": f"WITH {PIXELS} SELECT {STATS} FROM px",
+    "cube_histogram_exact": histogram_of(40),
     "region_runs": f"""WITH {RASTER}, i AS (SELECT region_id, y, x, x - row_number() OVER (PARTITION BY region_id, y ORDER BY x) AS g FROM rs)
         SELECT region_id, y, min(x) AS x_begin, max(x) + 1 AS x_end FROM i GROUP BY region_id, y, g""",
     "region_runs_islands": f"""WITH {PIXELS}, i AS (SELECT y, x, x - row_number() OVER (PARTITION BY y ORDER BY x) AS g FROM px WHERE channel = 0 AND raw > 0)
@@ -60,10 +44,10 @@ ORACLE_SQL: dict[str, str] = {
     "occupied_footprints": f"WITH {RASTER} SELECT DISTINCT x // 16 AS cx, y // 5 AS cy, 1 AS reads FROM rs",
     "occupied_chunk_semi_join": f"""WITH {PIXELS}, {RASTER} SELECT channel, count(*) AS pixels, min(x) AS x0, max(x) AS x1 FROM px
         WHERE (x // 16, y // 5) IN (SELECT (x // 16, y // 5) FROM rs) GROUP BY channel""",
-    "world_coordinate_join": f"WITH {_CHANNELS} SELECT channel, 1.4e9 + channel * 1e6 AS frequency, 1.4e9 + channel * 1e6 AS linear FROM ch",
+    "world_coordinate_join": f"WITH {CHANNELS} SELECT channel, 1.4e9 + channel * 1e6 AS frequency, 1.4e9 + channel * 1e6 AS linear FROM ch",
     "grouping_sets": f"""WITH {PIXELS} SELECT y, count(*) AS pixels, min(v)::DOUBLE AS low, max(v)::DOUBLE AS high, grouping(y)::INT AS all_rows FROM px WHERE v IS NOT NULL GROUP BY ROLLUP (y)""",
-    "value_histogram_lineitem": f"SELECT l_returnflag, {_BIN('l_extendedprice::FLOAT', 0.0, 2000.0, 64)} AS bin, count(*) AS count FROM lineitem WHERE l_extendedprice::FLOAT BETWEEN 0 AND 128000 GROUP BY ALL",
-    "event_value_histogram": f"SELECT event_type, {_BIN('value::FLOAT', 0.0, 10.0, 50)} AS bin, count(*) AS count FROM events WHERE value::FLOAT BETWEEN 0 AND 500 GROUP BY ALL",
+    "value_histogram_lineitem": f"SELECT l_returnflag, {BIN('l_extendedprice::FLOAT', 0.0, 2000.0, 64)} AS bin, count(*) AS count FROM lineitem WHERE l_extendedprice::FLOAT BETWEEN 0 AND 128000 GROUP BY ALL",
+    "event_value_histogram": f"SELECT event_type, {BIN('value::FLOAT', 0.0, 10.0, 50)} AS bin, count(*) AS count FROM events WHERE value::FLOAT BETWEEN 0 AND 500 GROUP BY ALL",
     "linear_axis_fit": """WITH s AS (
             SELECT 'even' AS axis, id AS idx, id * 0.25::DOUBLE - 10 AS value FROM range(200) r(id) UNION ALL SELECT 'offset', id, id * 0.5::DOUBLE + 3 FROM range(200) r(id)
             UNION ALL SELECT 'uneven', id, (id * id)::DOUBLE FROM range(200) r(id) UNION ALL SELECT 'equal', id, 7.0::DOUBLE FROM range(200) r(id)
@@ -76,16 +60,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT axis, uniform, round(increment, 6) AS increment, CASE WHEN inc <> 0 THEN 0.0::DOUBLE END AS reference_value,
             CASE WHEN inc <> 0 THEN round(CASE WHEN exact THEN near.p ELSE (0 - first) / increment + 1 END, 6) END AS reference_pixel, inc <> 0 AND off AS nonuniform, inc <> 0 AND NOT exact AS inexact FROM f""",
     "nearest_sample": "SELECT p_brand, p_partkey AS idx, p_retailprice AS value FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice - 1200), p_partkey) = 1",
-    "beams_pivot": f"WITH {_CHANNELS} SELECT 0 AS time, channel, 0 AS polarization, (2.0 + channel)::DOUBLE AS major, (1.0 + channel / 2.0)::DOUBLE AS minor, (channel * 0.25)::DOUBLE AS pa FROM ch",
-    "qualify_nodes": """SELECT * FROM (VALUES ('SKY', true, true, false, NULL), ('SKY_MODEL', true, true, false, NULL), ('OTHER', true, true, false, NULL),
-        ('WRONG_SIZE', true, false, true, 'invalid_metadata'), ('FLAT', true, false, true, 'invalid_metadata'), ('DEEP', true, false, true, 'invalid_metadata'),
-        ('COMPLEX', true, false, false, 'unsupported_data_type'), ('BOOLS', true, false, false, 'unsupported_data_type'), ('GRID', true, false, true, 'invalid_metadata'),
-        ('BADFLAG', true, false, true, 'invalid_metadata'), ('NAMED', true, false, true, 'invalid_metadata'), ('BROKEN', false, false, true, 'unreadable_array'),
-        ('ODD', false, false, true, 'unrecognized_node')) v(name, listed, openable, malformed, code)""",
-    "listing_rank": """WITH i AS (SELECT * FROM (VALUES ('SKY', true, 0, 'base', 1), ('SKY_MODEL', true, 1, 'again', 2), ('OTHER', true, 1, 'late', 8), ('NAMED', false, 1, 'late', 8), ('WRONG_SIZE', false, 2, '', 8),
-        ('FLAT', false, 2, '', 8), ('DEEP', false, 2, '', 8), ('COMPLEX', false, 2, '', 8), ('BOOLS', false, 2, '', 8), ('GRID', false, 2, '', 8), ('BADFLAG', false, 2, '', 8)) v(name, openable, later, grp, known)),
-        r AS (SELECT *, row_number() OVER (ORDER BY later, grp, known, name) AS rank FROM i)
-        SELECT name, openable, rank, rank = (SELECT min(rank) FROM r WHERE openable) AS is_default FROM r""",
+    "beams_pivot": f"WITH {CHANNELS} SELECT 0 AS time, channel, 0 AS polarization, (2.0 + channel)::DOUBLE AS major, (1.0 + channel / 2.0)::DOUBLE AS minor, (channel * 0.25)::DOUBLE AS pa FROM ch",
     "sweep_medians": """WITH l AS (SELECT user_id % 7 AS setting, event_type AS mode, CASE WHEN event_id % 97 = 0 THEN 'timeout' WHEN event_id % 89 = 0 THEN 'error' ELSE 'ok' END AS status, value + 1.0 AS seconds, event_id, value FROM events),
         t AS (SELECT *, CASE status WHEN 'timeout' THEN 'inf'::DOUBLE WHEN 'ok' THEN seconds END AS time FROM l),
         g AS (SELECT setting, mode, count(*) AS ops, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'timeout') AS timeouts, median(time) AS median_s,
@@ -110,8 +85,12 @@ ORACLE_SQL: dict[str, str] = {
     "robust_noise_stats": f"""WITH {PIXELS}, p AS (SELECT channel, raw::DOUBLE AS r FROM px WHERE NOT flagged), m AS (SELECT channel, median(r) AS mid, avg((r IS NULL)::INT) AS nan_fraction FROM p GROUP BY ALL),
         d AS (SELECT channel, nan_fraction, abs(r - mid) AS d FROM p JOIN m USING (channel)), s AS (SELECT channel, median(d) * 1.4826 AS rms FROM d GROUP BY ALL)
         SELECT channel, round(nan_fraction, 6) AS nan_fraction, round(rms, 6) AS rms, round(avg((d > 5 * rms)::INT), 6) AS beyond FROM d JOIN s USING (channel) GROUP BY channel, nan_fraction, rms""",
+    "noise_summary": f"""WITH {PIXELS}, p AS (SELECT channel, raw::DOUBLE AS r FROM px WHERE NOT flagged), m AS (SELECT channel, median(r) AS mid, avg((r IS NULL)::INT) AS nan_fraction FROM p GROUP BY ALL),
+        d AS (SELECT channel, nan_fraction, abs(r - mid) AS d FROM p JOIN m USING (channel)), s AS (SELECT channel, median(d) * 1.4826 AS rms FROM d GROUP BY ALL), f AS (SELECT channel, nan_fraction, rms, avg((d > 5 * rms)::INT) AS beyond FROM d JOIN s USING (channel) GROUP BY ALL)
+        SELECT count(*) AS channels, count(*) FILTER (nan_fraction = 1) AS all_nan_channels, round(median(nan_fraction), 6) AS nan_fraction, round(median(rms), 6) AS rms, round(median(beyond), 6) AS beyond FROM f""",
+    "nan_chunks": f"WITH {CHANNELS} SELECT count(*) * 20 AS chunks, count(*) FILTER (channel % 7 = 3) * 20 AS all_nan_chunks FROM ch",
     "read_model_fit": """WITH s AS (SELECT sum(l_quantity * l_quantity) AS pp, sum(l_quantity * l_linenumber) AS pc, sum(l_linenumber::DOUBLE * l_linenumber) AS cc, sum(l_quantity * l_extendedprice / 1000) AS ps, sum(l_linenumber * l_extendedprice / 1000) AS cs FROM lineitem)
         SELECT round((pp * cc - pc * pc) / (ps * cc - cs * pc), 6) AS pixels_per_s, round((cs * pp - ps * pc) / (pp * cc - pc * pc), 6) AS seconds_per_chunk FROM s""",
     "pixel_identity": "SELECT 2 AS channel, 9 AS y, 64 AS pixels",
     "storage_rules": """SELECT p_partkey, (ceil(512 / (p_size + 1)) * ceil(300 / (p_size + 4)) * (p_size + 1) * (p_size + 4) * 4)::BIGINT AS run_bytes, round(sqrt((p_size + 1) * (p_size + 1) * 256 / (512 * 300)), 9) AS depth FROM part""",
-}
+} | SQL

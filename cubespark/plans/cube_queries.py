@@ -26,7 +26,7 @@ def _whole(cube) -> PlaneSelection:
 def _reduced(spark: SparkSession, sf_dir: str, some: list[Region], planes: PlaneSelection | None = None, statistics: Statistic = Statistic.all(), mask: bool = True) -> DataFrame:
     pixels, cube = vector_cube(spark, sf_dir)
     frame = regions.region_table(spark, some, cube)
-    out = reduce.spectral_reduce(pixels, cube, regions.runs_of(frame), frame.select("region_id"), planes or _whole(cube), statistics, mask)
+    out = reduce.spectral_reduce(pixels, cube, regions.runs_of(frame), frame.select("region_id"), planes or _whole(cube), statistics, mask, regions.most_runs(some))
     return out
 
 
@@ -63,12 +63,12 @@ def spectral_mean_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plane_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels, cube = vector_cube(spark, sf_dir)
+    pixels, cube = vector_cube(spark, sf_dir, channels=Range(4, 1))
     return _valued(selection.plane(pixels, cube, 4))
 
 
 def spectrum_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels, cube = vector_cube(spark, sf_dir)
+    pixels, cube = vector_cube(spark, sf_dir, x=Range(11, 1))
     return _valued(selection.spectrum(pixels, cube, 11, 7))
 
 
@@ -77,8 +77,8 @@ def _valued(read: DataFrame) -> DataFrame:
 
 
 def hyperslab_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels, cube = vector_cube(spark, sf_dir)
     ranges = {"x": Range(3, 10, 5), "y": Range(1, 8, 3), "spectral": Range(0, 5, 2), "polarization": Range(0, 1), "time": Range(0, 1)}
+    pixels, cube = vector_cube(spark, sf_dir, channels=ranges["spectral"], x=ranges["x"])
     read = selection.hyperslab(pixels, cube, ranges)
     return read.select("s_channel", "s_y", "s_x", F.when(~F.isnan("value"), F.col("value").cast("double")).alias("value"))
 
@@ -96,11 +96,10 @@ def spatial_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifty pixels in logical order (a top-k report), numbered."""
+    """Every pixel in logical order, numbered."""
     pixels, _ = vector_cube(spark, sf_dir)
-    first = selection.logical_order(pixels).limit(50)
     place = F.col("channel") * WIDTH * HEIGHT + F.col("y") * WIDTH + F.col("x")
-    return first.select(place.cast("bigint").alias("place"), "channel", "y", "x", F.when(~F.isnan("value"), F.col("value").cast("double")).alias("value"))
+    return selection.logical_order(pixels).select(place.cast("bigint").alias("place"), "channel", "y", "x", F.when(~F.isnan("value"), F.col("value").cast("double")).alias("value"))
 
 
 def plane_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,42 +39,6 @@ def beams_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axes.beams(cells.withColumn("value", value), labels)
 
 
-NODES = (
-    ("", "group", True, None, [], [], None, None),
-    ("SKY", "array", True, "sky", ["time", "frequency", "polarization", "l", "m"], [1, 3, 2, 4, 5], "float32", True),
-    ("SKY_MODEL", "array", True, "sky", ["time", "frequency", "polarization", "l", "m"], [1, 3, 2, 4, 5], "float64", True),
-    ("OTHER", "array", True, "mask", ["time", "frequency", "polarization", "l", "m"], [1, 3, 2, 4, 5], "int16", True),
-    ("WRONG_SIZE", "array", True, "sky", ["time", "frequency", "polarization", "l", "m"], [1, 3, 2, 4, 6], "float32", True),
-    ("FLAT", "array", True, "sky", ["l", "m"], [4, 5], "float32", True),
-    ("DEEP", "array", True, "sky", ["time", "frequency", "polarization", "l", "m", "beam"], [1, 3, 2, 4, 5, 1], "float32", True),
-    ("COMPLEX", "array", True, "sky", ["time", "frequency", "polarization", "l", "m"], [1, 3, 2, 4, 5], "complex64", True),
-    ("BOOLS", "array", True, "mask", ["time", "frequency", "polarization", "l", "m"], [1, 3, 2, 4, 5], "bool", True),
-    ("FLAG", "array", True, "flag", ["time", "frequency", "polarization", "l", "m"], [1, 3, 2, 4, 5], "bool", True),
-    ("GRID", "array", True, "aperture", ["time", "frequency", "polarization", "u", "v"], [1, 3, 2, 4, 5], "float32", True),
-    ("BADFLAG", "array", True, "sky", ["time", "frequency", "polarization", "l", "m"], [1, 3, 2, 4, 5], "float32", False),
-    ("NAMED", "array", True, "Intensity", ["time", "frequency", "polarization", "l", "m"], [1, 3, 2, 4, 5], "float32", True),
-    ("BROKEN", "array", False, None, [], [], None, None),
-    ("ODD", "unrecognized", False, None, [], [], None, None),
-    ("frequency", "array", True, None, ["frequency"], [3], "float64", None),
-)
-ROLES = (("base", "sky", "SKY"), ("base", "flag", "FLAG"), ("late", "sky", "NAMED"), ("again", "sky", "SKY_MODEL"), ("late", "mask", "OTHER"))
-LENGTHS = (("time", 1), ("frequency", 3), ("polarization", 2), ("l", 4), ("m", 5))
-
-
-def _described(spark: SparkSession):
-    nodes = spark.createDataFrame(list(NODES), "name string, kind string, parsed boolean, type string, dims array<string>, shape array<bigint>, data_type string, flag_ok boolean")
-    return nodes, spark.createDataFrame(list(ROLES), "group string, role string, variable string"), spark.createDataFrame(list(LENGTHS), "name string, length bigint")
-
-
-def qualify_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return axes.qualify(*_described(spark))
-
-
-def listing_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, roles, lengths = _described(spark)
-    return axes.listing(axes.qualify(nodes, roles, lengths).filter("listed").select("name", "openable"), roles)
-
-
 def _op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as timed operations: each user is a layout, each kind of event a mode."""
     e = table(spark, sf_dir, "events")
@@ -106,7 +70,7 @@ def first_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mode_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _op_log(spark, sf_dir).filter("status = 'ok'").groupBy("setting", "mode").agg(F.median("seconds").alias("seconds"))
+    return layouts.order_statistics(_op_log(spark, sf_dir).filter("status = 'ok'"), ["setting", "mode"], "seconds").select("setting", "mode", F.col("median").alias("seconds"))
 
 
 def sweep_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +85,7 @@ def sweep_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_rank_p90(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(layouts.p90(F.col("o_totalprice")).alias("p90"), layouts.upper_median(F.col("o_totalprice")).alias("upper_median"))
+    return layouts.order_statistics(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice").select("o_orderpriority", "p90", "upper_median")
 
 
 def checksum_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +113,19 @@ def robust_noise_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("channel", *[F.round(c, 6).alias(c) for c in ("nan_fraction", "rms", "beyond")])
 
 
+def noise_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of the noise measures over channels, and channels of nothing but NaN."""
+    pixels, _ = vector_cube(spark, sf_dir)
+    told = layouts.noise_summary(layouts.robust_noise(pixels.filter("not flagged"), ["channel"]))
+    return told.select("channels", "all_nan_channels", *[F.round(c, 6).alias(c) for c in ("nan_fraction", "rms", "beyond")])
+
+
+def nan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks one channel deep, and those of nothing but NaN."""
+    pixels, cube = vector_cube(spark, sf_dir)
+    return layouts.nan_chunks(pixels, cube.chunk | {"spectral": 1})
+
+
 def read_model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 1.0).alias("pixels"), (F.col("l_linenumber") * 1.0).alias("chunks"), (F.col("l_extendedprice") / 1000).alias("seconds"))
     return layouts.model_fit(rows).select(F.round("pixels_per_s", 6).alias("pixels_per_s"), F.round("seconds_per_chunk", 6).alias("seconds_per_chunk"))

@@ -14,7 +14,7 @@ DATA = Path("/root/testdata/sf0.001")
 def test_queries_and_sql_have_the_same_names():
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 40
+    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 80
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
@@ -32,7 +32,7 @@ def test_without_the_subpackage(tmp_path):
         if "llm" not in rel.parts and rel.name != "corpus_pipeline.py" and ".git" not in rel.parts:
             (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
             (tmp_path / rel).write_text(p.read_text())
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 30 and 'pipeline' not in q, q; assert set(e.oracle_sql()) <= set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 70 and 'pipeline' not in q, q; assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True).returncode == 0
 
 

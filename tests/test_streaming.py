@@ -24,8 +24,8 @@ def pixels(spark):
 def test_pieces_are_a_prefix(pixels):
     seen, got = [], []
     for rows in progress.read_in_pieces(pixels, CUBE, selection.whole(CUBE), lambda a, b: seen.append((a, b)) or True):
-        got += rows
-    assert [(r.channel, r.y, r.x) for r in got] == [(c, y, x) for c in range(10) for y in range(6) for x in range(8)] and seen[-1] == (480, 480)
+        got += rows.to_pylist()
+    assert [(r["channel"], r["y"], r["x"]) for r in got] == [(c, y, x) for c in range(10) for y in range(6) for x in range(8)] and seen[-1] == (480, 480)
     with pytest.raises(Exception, match="cancelled"):
         list(progress.read_in_pieces(pixels, CUBE, selection.whole(CUBE), lambda a, b: False))
 
@@ -57,6 +57,27 @@ def test_streamed_statistics_and_snapshots(spark, pixels, tmp_path):
     assert snaps == sorted(snaps) and snaps[-1] == 2 * 42
 
 
+def test_streamed_regions(spark, pixels, tmp_path):
+    """Updates by region and channel grow to the result of one pass; snapshots of the growing histogram are full results."""
+    some = [Region(0, 0, 0, 8, 6), Region(1, 2, 2, 3, 3, bytes([1, 0, 1, 0, 1, 0, 0, 0, 1]))]
+    frame = regions.region_table(spark, some, CUBE)
+    for part in range(3):
+        pixels.filter((F.col("x") + F.col("y") + F.col("channel")) % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen, found = [], []
+    stream = progress.pixel_stream(spark, str(tmp_path / "in"))
+    progress.stream_region_blocks(stream, regions.runs_of(frame), lambda b, n: seen.append(b.collect()), str(tmp_path / "c1")).awaitTermination()
+    assert len(seen) == 3 and all(0 < r.completeness <= 1 and r.complete == (r.completeness == 1) for rows in seen for r in rows)
+    final = {(r.region_id, r.channel): r for rows in seen for r in rows if r.complete}
+    want = reduce.spectral_reduce(pixels, CUBE, regions.runs_of(frame), frame.select("region_id"), PlaneSelection(Range(0, 10))).collect()
+    assert len(final) == len(want) == 20
+    for r in want:
+        f = final[r.region_id, r.sel_channel]
+        assert all(abs(f[s.name] - r[s.name]) < 1e-6 * max(1, abs(r[s.name])) for s in Statistic)
+    progress.growing_snapshots(progress.pixel_stream(spark, str(tmp_path / "in")), 12, lambda h, n: found.append((h.totals(), h.counts(12))), str(tmp_path / "c2")).awaitTermination()
+    assert [int(c.sum()) for _, c in found] == [int(t["num_pixels"]) for t, _ in found] and found[-1][0]["num_pixels"] == 420 and found[-1][0]["nan_count"] == 60
+    assert (found[-1][0]["min"], found[-1][0]["max"]) == (0.0, 957.0) and len(list((tmp_path / "c2" / "histogram").iterdir())) == 3
+
+
 def test_stopping(spark):
     slow = spark.range(8).repartition(8).mapInPandas(lambda it: (time.sleep(1) or p for p in it), "id bigint")
 
