@@ -3,13 +3,17 @@
 The decoder reads simple and normal prefix codes, meta prefix codes, literals,
 back-references and the colour cache, and inverts the predictor, cross-colour,
 subtract-green and colour-indexing transforms.  Images whose pixels differ in
-one channel only and that use neither references nor a cache - as the encoder
-writes them - take a table that yields several symbols a look-up; the table is
-kept by the code lengths that the stream states.
+one channel only and that use no cache - as the encoder writes them - take a
+table that yields several literals a look-up, and copy references byte by byte
+string; the table is kept by the code lengths that the stream states.
 
 The encoder puts bytes in the green channel of an image 64 samples wide (wider
-where the height would pass 16384) under one fixed prefix code for text, so that
-equal bytes give equal files.  Payloads over 2**28 bytes raise.
+where the height would pass 16384).  Payloads of few kinds of bytes become a palette
+with packed indices.  Others are literals and, where that takes fewer bits, references
+to what came before; of a few fixed prefix codes, each for a kind of script, the one
+that takes the fewest bits is stated.  So equal bytes give equal files.  Bits are
+packed some at a time, so that a long payload is held a few times and not once a bit.
+Payloads over 2**28 bytes raise.
 """
 
 from __future__ import annotations
@@ -48,6 +52,10 @@ class Bits:
         a = self.at >> 3
         return int.from_bytes(self.data[a : a + 6], "little") >> (self.at & 7) & (1 << n) - 1
 
+    def look(self, at: int, n: int) -> int:
+        """Any number of bits from a place on."""
+        return int.from_bytes(self.data[at >> 3 : at + n + 7 >> 3], "little") >> (at & 7) & (1 << n) - 1
+
     def read(self, n: int) -> int:
         found = self.peek(n)
         self.at += n
@@ -131,6 +139,28 @@ def _read_code(bits: Bits, size: int) -> Code:
     return Code(tuple(lengths))
 
 
+#: Groups of codes that were read lately, by the alphabet sizes and the first bits that state them: (bits, their number, the codes).
+_LATELY: dict[tuple, tuple[int, int, list[Code]]] = {}
+
+
+def _read_codes(bits: Bits, sizes: tuple[int, ...]) -> list[Code]:
+    """The five codes of a group; one that is stated by the very bits of a group read before is that group."""
+    key = (sizes, bits.peek(32))
+    found = _LATELY.get(key)
+    if found is not None:
+        stated, n, codes = found
+        if bits.look(bits.at, n) == stated:
+            bits.at += n
+            return codes
+    start = bits.at
+    codes = [_read_code(bits, s) for s in sizes]
+    if len(_LATELY) > 256:
+        _LATELY.clear()
+    n = bits.at - start
+    _LATELY[key] = bits.look(start, n), n, codes
+    return codes
+
+
 def _value(bits: Bits, prefix: int) -> int:
     if prefix < 4:
         return prefix + 1
@@ -140,7 +170,7 @@ def _value(bits: Bits, prefix: int) -> int:
 
 @functools.lru_cache(64)
 def _runs(lengths: tuple[int, ...]) -> tuple[list[bytes], list[int]]:
-    """By the next 16 bits: the symbols that they hold in full, and the bits that those take."""
+    """By the next 16 bits: the literals that they hold in full, up to the first other symbol, and the bits that those take."""
     table, width = lookup(lengths)
     single = np.array(table, np.int64)
     v = np.arange(1 << 16)
@@ -148,7 +178,7 @@ def _runs(lengths: tuple[int, ...]) -> tuple[list[bytes], list[int]]:
     count = np.zeros(1 << 16, np.int64)
     for k in range(8):
         found = single[(v >> used) & (1 << width) - 1]
-        fits = (used + (found & 15) <= 16) & (count == k)
+        fits = (used + (found & 15) <= 16) & (count == k) & (found < 256 << 4)
         text[fits, k] = found[fits] >> 4
         used[fits] += found[fits] & 15
         count[fits] += 1
@@ -156,29 +186,72 @@ def _runs(lengths: tuple[int, ...]) -> tuple[list[bytes], list[int]]:
     return [raw[8 * i : 8 * i + n] for i, n in enumerate(count.tolist())], used.tolist()
 
 
-def _literals(bits: Bits, code: Code, n: int) -> np.ndarray:
+#: Bytes of a stream whose 16-bit windows are held at a time; smaller images are read symbol by symbol, without a table.
+WINDOWS, FEW = 1 << 15, 512
+
+
+def _copied(out: bytearray, back: int, length: int) -> None:
+    """Appends ``length`` bytes from ``back`` before the end; a reference may reach into what it writes."""
+    start = len(out) - back
+    if start < 0:
+        raise ValueError("a reference outside the image")
+    some = out[start : start + length]
+    out += some if back >= length else (some * (length // back + 1))[:length]
+
+
+def _greens(bits: Bits, code: Code, distance: Code, width: int, n: int) -> np.ndarray:
+    """n samples of an image that has one channel: literals and references."""
     texts, used = _runs(code.lengths)
-    skip, at = bits.at >> 3, bits.at & 7
-    b = np.frombuffer(bits.data[skip:] + bytes(4), np.uint8).astype(np.uint32)
-    windows = (b[:-2] | b[1:-1] << 8 | b[2:] << 16).tolist()
-    out, have, end = [], 0, 8 * (len(bits.data) - skip)
+    out, some, have, at, end = bytearray(), [], 0, bits.at, 8 * len(bits.data)
     while have < n:
-        v = windows[at >> 3] >> (at & 7) & 0xFFFF
-        t = texts[v]
-        out.append(t)
-        have += len(t)
-        at += used[v]
-        if at > end + 16:
+        low = at >> 3
+        b = np.frombuffer(bits.data[low : low + WINDOWS + 2] + bytes(4), np.uint8).astype(np.uint32)
+        windows = (b[:-2] | b[1:-1] << 8 | b[2:] << 16).tolist()
+        at -= 8 * low
+        stop = 8 * min(WINDOWS, len(windows))
+        while have < n and at < stop:
+            v = windows[at >> 3] >> (at & 7) & 0xFFFF
+            t = texts[v]
+            if t:
+                some.append(t)
+                have += len(t)
+                at += used[v]
+                continue
+            bits.at = 8 * low + at
+            symbol = code.read(bits)
+            if symbol < 256 or symbol >= 256 + LENGTH_CODES:
+                raise ValueError("a symbol outside the alphabet")
+            length = _value(bits, symbol - 256)
+            back = _distance(_value(bits, distance.read(bits)), width)
+            if have + length > n:
+                raise ValueError("a reference outside the image")
+            out += b"".join(some)
+            some = []
+            _copied(out, back, length)
+            have += length
+            at = bits.at - 8 * low
+        at += 8 * low
+        if at >= end + 16 and have < n:
             raise ValueError("the stream ends early")
-    found = np.frombuffer(b"".join(out), np.uint8)
-    for s in found[n:].tolist():  # the last look-up may have gone beyond the image
+    out += b"".join(some)
+    for s in out[n:]:  # the last look-up may have gone beyond the image
         at -= code.lengths[s]
-    bits.at = 8 * skip + at
-    return found[:n]
+    if at > end:
+        raise ValueError("the stream ends early")
+    bits.at = at
+    return np.frombuffer(out, np.uint8, n)
+
+
+def _distance(code: int, width: int) -> int:
+    """How many pixels a distance code reaches back."""
+    if code > len(NEAR):
+        return code - len(NEAR)
+    dx, dy = NEAR[code - 1]
+    return max(1, dx + dy * width)
 
 
-def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image: width * height pixels 0xAARRGGBB."""
+def _read_pixels(bits: Bits, width: int, height: int, main: bool, green_only: bool = False) -> np.ndarray:
+    """An entropy-coded image: width * height pixels 0xAARRGGBB; green_only: where they differ in that channel alone, its bytes."""
     n = width * height
     cache_bits = bits.read(4) if bits.read(1) else 0
     groups, block, tiles = 1, 0, None
@@ -188,11 +261,14 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         tiles = (_read_pixels(bits, across, -(-height >> block), False) >> 8 & 0xFFFF).astype(np.int64)
         groups = int(tiles.max()) + 1
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
-    codes = [[_read_code(bits, s) for s in sizes] for _ in range(groups)]
+    codes = [_read_codes(bits, sizes) for _ in range(groups)]
     green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and not cache_bits and not any(green.lengths[256:]) and green.width and None not in (red.single(), blue.single(), alpha.single()):
-        rest = np.uint32(alpha.single() << 24 | red.single() << 16 | blue.single())
-        return _literals(bits, green, n).astype(np.uint32) << np.uint32(8) | rest
+    if groups == 1 and not cache_bits and None not in (green.single(), red.single(), blue.single(), alpha.single()) and green.single() < 256:
+        one = np.uint32(alpha.single() << 24 | red.single() << 16 | green.single() << 8 | blue.single())
+        return np.full(n, green.single(), np.uint8) if green_only else np.full(n, one)
+    if groups == 1 and not cache_bits and green.width and n >= FEW and None not in (red.single(), blue.single(), alpha.single()):
+        found = _greens(bits, green, codes[0][4], width, n)
+        return found if green_only else found.astype(np.uint32) << np.uint32(8) | np.uint32(alpha.single() << 24 | red.single() << 16 | blue.single())
     out = [0] * n
     cache = [0] * (1 << cache_bits)
     shift = 32 - cache_bits
@@ -211,12 +287,7 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += 1
         elif s < 256 + LENGTH_CODES:
             length = _value(bits, s - 256)
-            back = _value(bits, distance.read(bits))
-            if back > len(NEAR):
-                back -= len(NEAR)
-            else:
-                dx, dy = NEAR[back - 1]
-                back = max(1, dx + dy * width)
+            back = _distance(_value(bits, distance.read(bits)), width)
             if back > at or at + length > n:
                 raise ValueError("a reference outside the image")
             for _ in range(length):
@@ -327,8 +398,8 @@ def _undo_indexing(pixels: np.ndarray, width: int, height: int, table: np.ndarra
     return colours[index].ravel()
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels (height, width) as 0xAARRGGBB of a lossless WebP file."""
+def _opened(data: bytes) -> tuple[Bits, int, int]:
+    """(bits behind the image header, width, height) of a lossless WebP file."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     bits = Bits(data[20 : 20 + int.from_bytes(data[16:20], "little")])
@@ -338,6 +409,15 @@ def decode(data: bytes) -> np.ndarray:
     bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
+    return bits, width, height
+
+
+def size_of(data: bytes) -> tuple[int, int]:
+    return _opened(data[:64])[1:]
+
+
+def _transforms(bits: Bits, width: int, height: int) -> tuple[list, int]:
+    """(what undoes each transform, the width of the coded image)."""
     undo, inner, seen = [], width, set()
     while bits.read(1):
         kind = bits.read(2)
@@ -358,12 +438,29 @@ def decode(data: bytes) -> np.ndarray:
             packed = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             undo.append(functools.partial(_undo_indexing, width=inner, height=height, table=table, packed=packed))
             inner = -(-inner >> packed)
+    return undo, inner
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Pixels (height, width) as 0xAARRGGBB of a lossless WebP file."""
+    bits, width, height = _opened(data)
+    undo, inner = _transforms(bits, width, height)
     pixels = _read_pixels(bits, inner, height, True)
     for f in reversed(undo):
         pixels = f(pixels)
     return pixels.reshape(height, width)
 
 
+def samples(data: bytes) -> bytes:
+    """The green channel of a file, row by row."""
+    bits, width, height = _opened(data)
+    undo, inner = _transforms(bits, width, height)
+    found = _read_pixels(bits, inner, height, True, not undo)
+    for f in reversed(undo):
+        found = f(found)
+    return found.tobytes() if found.dtype == np.uint8 else (found >> 8 & 255).astype(np.uint8).tobytes()
+
+
 def huffman(weights: list[int]) -> tuple[int, ...]:
     """Code lengths of a Huffman code; ties are broken by symbol."""
     heap = [(w, i, (i,)) for i, w in enumerate(weights) if w]
@@ -379,50 +476,292 @@ def huffman(weights: list[int]) -> tuple[int, ...]:
     return tuple(lengths)
 
 
+def _weights(*some) -> list[int]:
+    weights = [1] * 256
+    for kinds, w in some:
+        for k in kinds:
+            weights[k] = w
+    return weights
+
+
+#: Assumed weights of bytes by kind of text, every byte with one (fixed values of this encoder): prose in Latin letters, in scripts
+#: of two and of three bytes a letter, signs and numbers, and anything.
+_LATIN = ((range(128, 192), 6), (range(33, 127), 8), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 12), (b"bcdfghjklmnpqrstuvwxyz", 160), (b"aeioutnrs", 420), (b" ", 900), (b".,\n", 60), (b"\0", 20), (b"\xc3", 60))
+KINDS = (
+    _weights(*_LATIN),
+    _weights((range(33, 127), 4), (range(128, 192), 60), (range(0xCE, 0xDB), 120), (b"\xd0\xd1", 900), (b"\xb0\xb5\xb8\xbd\xbe\x80\x81\x82", 240), (b" ", 400), (b".,\n", 30)),
+    _weights((range(33, 127), 4), (range(128, 192), 64), (range(0xE0, 0xF0), 120), (b"\xe4\xe5\xe6\xe7\xe3", 500), (b" \n", 30)),
+    _weights((range(32, 127), 20), (b"0123456789", 60), (b" \n\t.,", 60), (range(97, 123), 30)),
+    _weights((range(256), 1)),
+)
+#: Weight of a length symbol and of a distance symbol by its number, where references are used.
+LENGTHS, DISTANCE = [14] * LENGTH_CODES, [1] * 8 + [3] * 4 + [12] * 12 + [6] * 16
+
+
+@functools.cache
+def kind_lengths(kind: int, references: bool) -> tuple[int, ...]:
+    """Code lengths of the green alphabet for a kind of text; weights are scaled so that a length symbol takes some 7 bits."""
+    bytes_ = [w * 16 for w in KINDS[kind]]
+    each = sum(bytes_) // 1500 + 1
+    return huffman(bytes_ + [each * w // 14 for w in LENGTHS]) if references else (*huffman(bytes_), *[0] * LENGTH_CODES)
+
+
 @functools.cache
 def text_code() -> tuple[int, ...]:
-    """Lengths for bytes of prose in Latin scripts: assumed weights by kind of byte, every byte with one."""
-    weights = [1] * 256
-    for some, w in ((range(128, 192), 6), (range(33, 127), 8), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 12), (b"bcdfghjklmnpqrstuvwxyz", 160), (b"aeioutnrs", 420), (b" ", 900), (b".,\n", 60), (b"\0", 20), (b"\xc3", 60)):
-        for b in some:
-            weights[b] = w
-    return huffman(weights)
+    """Code lengths for bytes of prose in Latin scripts."""
+    return kind_lengths(0, False)[:256]
 
 
 def _number(value: int, n: int) -> str:
     return format(value, f"0{n}b")[::-1] if n else ""
 
 
+def _runs_of(lengths: tuple[int, ...]) -> list[tuple[int, int, int]]:
+    """Code lengths as (symbol, extra value, extra bits): runs of zeros and of one length are told by their number."""
+    out, at, before = [], 0, 8
+    while at < len(lengths):
+        n, again = lengths[at], 1
+        while at + again < len(lengths) and lengths[at + again] == n:
+            again += 1
+        at += again
+        if not n:
+            while again > 10:
+                k = min(again, 138)
+                out.append((18, k - 11, 7))
+                again -= k
+            if again > 2:
+                out.append((17, again - 3, 3))
+                again = 0
+            out += [(0, 0, 0)] * again
+            continue
+        if n != before:
+            out.append((n, 0, 0))
+            before, again = n, again - 1
+        while again > 2:
+            k = min(again, 6)
+            out.append((16, k - 3, 2))
+            again -= k
+        out += [(n, 0, 0)] * again
+    return out
+
+
 def write_code(lengths: tuple[int, ...]) -> str:
-    """Bits that state a prefix code: simple where a symbol stands alone, else plain code lengths."""
+    """Bits that state a prefix code: simple where at most two symbols are used, else code lengths."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 2 and all(s < 256 for s in used):
         first = used[0] if used else 0
         return "1" + _number(len(used) > 1, 1) + "1" + _number(first, 8) + (_number(used[1], 8) if len(used) > 1 else "")
-    inner = huffman(np.bincount(lengths, minlength=19).tolist())
+    told = _runs_of(lengths)
+    often = np.bincount([s for s, *_ in told], minlength=19)
+    inner = huffman(often.tolist())
     while max(inner) > 7:  # code lengths' own codes have at most 7 bits
-        inner = huffman([1 + bool(x) for x in np.bincount(lengths, minlength=19)])
+        often = often + 1 >> 1
+        inner = huffman(often.tolist())
     codes = canonical(inner)
-    return "0" + _number(15, 4) + "".join(_number(inner[s], 3) for s in LENGTH_ORDER) + "0" + "".join(codes[n] for n in lengths)
+    count = max(4, max(i for i, s in enumerate(LENGTH_ORDER) if inner[s]) + 1)
+    return "0" + _number(count - 4, 4) + "".join(_number(inner[s], 3) for s in LENGTH_ORDER[:count]) + "0" + "".join(codes[s] + _number(value, n) for s, value, n in told)
 
 
-@functools.cache
-def _plain() -> tuple[str, list[str]]:
-    lengths = text_code()
-    single = lambda s: write_code(tuple(int(i == s) for i in range(256)))
-    head = "0" + "0" + "0" + write_code((*lengths, *[0] * LENGTH_CODES)) + single(0) + single(0) + single(255) + write_code((1, *[0] * (DISTANCES - 1)))
+def _single(symbol: int) -> str:
+    return write_code(tuple(int(i == symbol) for i in range(256)))
+
+
+def _numbers(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, least significant bit first; their lengths) by symbol."""
     codes = canonical(lengths)
-    return head, [codes[b] for b in range(256)]
+    return np.array([int(codes.get(s, "")[::-1] or "0", 2) for s in range(len(lengths))], np.uint32), np.array([len(codes.get(s, "")) for s in range(len(lengths))], np.int64)
 
 
-def container(width: int, height: int, stream: str) -> bytes:
-    """A file of a stream of bits behind the image header."""
-    bits = _number(0x2F, 8) + _number(width - 1, 14) + _number(height - 1, 14) + "0" + "000" + stream
-    body = int(bits[::-1], 2).to_bytes(-(-len(bits) // 8), "little")
+@functools.cache
+def _plan(kind: int, references: bool) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bits before the pixels, codes and lengths of the green alphabet, codes and lengths of distances)."""
+    green, distance = kind_lengths(kind, references), huffman(DISTANCE) if references else (1, *[0] * (DISTANCES - 1))
+    head = "0" + "0" + write_code(green) + _single(0) + _single(0) + _single(255) + write_code(distance)
+    return (head, *_numbers(green), *_numbers(distance))
+
+
+def prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbol, extra bits' value, how many) of lengths or distance codes, from 1 on."""
+    v = value - 1
+    top = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1, 1)  # the highest bit
+    small = v < 4
+    extra = np.where(small, 0, top - 1)
+    return np.where(small, v, 2 * top + (v >> extra & 1)), np.where(small, 0, v & (1 << extra) - 1), extra
+
+
+#: References: least length, greatest length and reach that the format allows; bytes that have to be alike for a place to be looked at.
+LEAST, LONGEST, FAR, WORD, LONG_WORD = 12, 4096, (1 << 20) - 120, 8, 32
+NONE = np.zeros(0, np.int64)
+#: Bytes of a payload that are looked through for repeats, and packed, at a time: references do not cross them.
+SLAB = 1 << 20
+
+
+def _repeats(payload: bytes, word: int, taken: np.ndarray | None) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of runs of places that each repeat ``word`` bytes of the last place with the same ones; none touches what is taken.
+
+    At most ``SLAB`` bytes: places are sorted by a hash of their bytes and their number in one 64-bit key.
+    """
+    n = len(payload) - word + 1
+    if n < LEAST:
+        return []
+    words = np.ndarray((len(payload) - 7,), "<u8", payload, 0, (1,))
+    parts = [words[k : k + n] for k in range(0, word, 8)]
+    key = np.zeros(n, np.uint64)
+    for part in parts:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    key &= np.uint64(~(SLAB - 1) & (1 << 64) - 1)
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    place = (key & np.uint64(SLAB - 1)).astype(np.int64)
+    key >>= np.uint64(20)
+    same = np.flatnonzero(key[1:] == key[:-1])
+    if not len(same):
+        return []
+    a, b = place[same], place[same + 1]
+    alike = np.ones(len(a), bool)
+    for part in parts:
+        alike &= part[a] == part[b]
+    back = np.zeros(n, np.int64)
+    back[b[alike]] = (b - a)[alike]
+    back[back > FAR] = 0
+    if taken is not None:
+        upto = np.concatenate([[0], np.cumsum(taken, dtype=np.int64)])
+        back[upto[word : word + n] > upto[:n]] = 0
+    edge = np.concatenate([[0], np.flatnonzero(back[1:] != back[:-1]) + 1, [n]])
+    far = back[edge[:-1]]
+    lengths = edge[1:] - edge[:-1] + (word - 1)
+    some = (far > 0) & (lengths >= LEAST)
+    out, done = [], 0
+    for a, length, d in zip(edge[:-1][some].tolist(), lengths[some].tolist(), far[some].tolist()):
+        stop, a = a + length, max(a, done)
+        while stop - a >= LEAST:
+            k = min(stop - a, LONGEST)
+            out.append((a, k, d))
+            a += k
+            done = a
+    return out
+
+
+def references(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of repeats, in order and apart; where a third of the payload repeats, long ones come first and short ones go between them."""
+    out = _repeats(payload, WORD, None)
+    if 3 * sum(k for _, k, _ in out) > len(payload) and (long := _repeats(payload, LONG_WORD, None)):
+        taken = np.zeros(len(payload), bool)
+        for a, k, _ in long:
+            taken[a : a + k] = True
+        out = sorted(long + _repeats(payload, WORD, taken))
+    return tuple(np.array(out, np.int64).T) if out else (NONE, NONE, NONE)
+
+
+class Packer:
+    """Bytes of numbers of bits, least significant first; what is over eight bits waits for the next."""
+
+    def __init__(self, bits: str):
+        self.parts, self.over, self.n = [], 0, 0
+        whole = len(bits) // 8 * 8
+        if whole:
+            self.parts.append(int(bits[:whole][::-1], 2).to_bytes(whole // 8, "little"))
+        self.over, self.n = int(bits[whole:][::-1] or "0", 2), len(bits) - whole
+
+    def put(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        """Numbers of at most 64 bits."""
+        for lo in range(0, len(values), 1 << 17):
+            v, n = values[lo : lo + (1 << 17)].astype(np.uint64), lengths[lo : lo + (1 << 17)]
+            if self.n:
+                v, n = np.concatenate([[np.uint64(self.over)], v]), np.concatenate([[self.n], n])
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1], dtype=np.uint64) - np.repeat((ends - n).astype(np.uint64), n)
+            bits = (np.repeat(v, n) >> place).astype(np.uint8) & 1
+            whole = len(bits) // 8 * 8
+            self.parts.append(np.packbits(bits[:whole], bitorder="little").tobytes())
+            rest = bits[whole:].tolist()
+            self.over, self.n = sum(x << i for i, x in enumerate(rest)), len(rest)
+
+    def bytes(self) -> bytes:
+        return b"".join(self.parts) + (bytes([self.over]) if self.n else b"")
+
+
+def _file(width: int, height: int, packer: Packer) -> bytes:
+    body = packer.bytes()
     padded = body + bytes(len(body) % 2)
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + padded
 
 
+def _header(width: int, height: int) -> str:
+    return _number(0x2F, 8) + _number(width - 1, 14) + _number(height - 1, 14) + "0" + "000"
+
+
+def container(width: int, height: int, stream: str) -> bytes:
+    """A file of a stream of bits behind the image header."""
+    return _file(width, height, Packer(_header(width, height) + stream))
+
+
+@functools.cache
+def _costs(refer: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By kind: the bits before the pixels, and those of each green and each distance symbol."""
+    plans = [_plan(k, refer) for k in range(len(KINDS))]
+    return np.array([len(p[0]) for p in plans]), np.stack([p[2] for p in plans]), np.stack([p[4] for p in plans])
+
+
+class Slab:
+    """A part of a payload with its references: what they would take, and the numbers that write it."""
+
+    def __init__(self, data: np.ndarray, payload: bytes):
+        self.data = data
+        self.start, length, back = references(payload)
+        self.symbol, self.value, self.bits = prefixed(length)
+        self.far, self.d_value, self.d_bits = prefixed(back + len(NEAR))
+        mark = np.zeros(len(data) + 1, np.int8)
+        mark[self.start] = 1
+        np.subtract.at(mark, self.start + length, 1)
+        self.literal = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int8) == 0) if len(self.start) else None
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """(green symbols, distance symbols, extra bits) where references are used."""
+        green = np.concatenate([np.bincount(self.data if self.literal is None else self.data[self.literal], minlength=256), np.bincount(self.symbol, minlength=LENGTH_CODES)])
+        return green, np.bincount(self.far, minlength=DISTANCES), int(self.bits.sum() + self.d_bits.sum())
+
+    def write(self, packer: Packer, kind: int, refer: bool) -> None:
+        _, codes, lengths, d_codes, d_lengths = _plan(kind, refer)
+        if not refer or self.literal is None:
+            packer.put(codes[self.data], lengths[self.data])
+            return
+        values, sizes = np.empty(len(self.data), np.uint64), np.zeros(len(self.data), np.int64)
+        some = self.data[self.literal]
+        values[self.literal], sizes[self.literal] = codes[some], lengths[some]
+        number, size = codes[self.symbol + 256].astype(np.uint64), lengths[self.symbol + 256].copy()
+        for v, n in ((self.value, self.bits), (d_codes[self.far], d_lengths[self.far]), (self.d_value, self.d_bits)):
+            number |= v.astype(np.uint64) << size.astype(np.uint64)
+            size += n
+        values[self.start], sizes[self.start] = number, size
+        put = sizes > 0
+        packer.put(values[put], sizes[put])
+
+
+def _with_palette(payload: np.ndarray, colours: np.ndarray, width: int, height: int) -> bytes:
+    """Few kinds of bytes: a palette, and rows of indices packed 8, 4 or 2 to a sample, in a code made for them."""
+    packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+    each, many = 8 >> packed, 1 << packed
+    index = np.searchsorted(colours, payload).reshape(height, width)
+    index = np.pad(index, ((0, 0), (0, -width % many))).reshape(height, -1, many)
+    bytes_ = (index << np.arange(many) * each).sum(axis=2).ravel()
+    deltas = np.diff(colours.astype(np.int64), prepend=0) % 256
+    kinds = np.bincount(deltas, minlength=256)
+    code = lambda often, size: huffman(often.tolist() + [0] * (size - len(often))) if (often > 0).sum() > 1 else tuple(int(i == int(often.argmax())) for i in range(size))
+    steps, alpha = code(kinds, 256 + LENGTH_CODES), code(np.bincount([255] + [0] * (len(colours) - 1), minlength=256), 256)
+    none = write_code((1, *[0] * (DISTANCES - 1)))
+    a_codes, s_codes = canonical(alpha), canonical(steps)
+    table = "0" + write_code(steps) + _single(0) + _single(0) + write_code(alpha) + none
+    table += "".join(s_codes[d] + a_codes[255 if i == 0 else 0] for i, d in enumerate(deltas.tolist()))
+    green = code(np.bincount(bytes_, minlength=256), 256 + LENGTH_CODES)
+    head = "1" + _number(INDEXING, 2) + _number(len(colours) - 1, 8) + table + "0" + "0" + "0" + write_code(green) + _single(0) + _single(0) + _single(255) + none
+    packer = Packer(_header(width, height) + head)
+    values, lengths = _numbers(green)
+    packer.put(values[bytes_], lengths[bytes_])
+    return _file(width, height, packer)
+
+
 def encode_samples(payload: bytes) -> bytes:
     """A file whose green channel is the payload, a positive multiple of 64 bytes."""
     if not payload or len(payload) % SAMPLES:
@@ -433,10 +772,24 @@ def encode_samples(payload: bytes) -> bytes:
     if width > TALLEST:
         raise ValueError("over 2**28 bytes")
     payload = payload.ljust(-(-len(payload) // width) * width, b"\0")
-    head, codes = _plain()
-    return container(width, len(payload) // width, head + "".join(map(codes.__getitem__, payload)))
-
-
-def samples(data: bytes) -> bytes:
-    """The green channel of a file, row by row."""
-    return (decode(data) >> 8 & 255).astype(np.uint8).tobytes()
+    height = len(payload) // width
+    data = np.frombuffer(payload, np.uint8)
+    often = np.bincount(data, minlength=256)
+    if (often > 0).sum() <= 16:
+        return _with_palette(data, np.flatnonzero(often), width, height)
+    parts = [(data[lo : lo + SLAB], payload[lo : lo + SLAB]) for lo in range(0, len(payload), SLAB)]
+    slabs = [Slab(*parts[0])] if len(parts) == 1 else None  # of a long payload one at a time, made twice
+    head, green, _ = _costs(False)
+    costs = [(c, k, False) for k, c in enumerate((head + green[:, :256] @ often).tolist())]
+    symbols, distances, extra = np.zeros(256 + LENGTH_CODES, np.int64), np.zeros(DISTANCES, np.int64), 0
+    for slab in slabs or (Slab(*p) for p in parts):
+        g, d, e = slab.counts()
+        symbols, distances, extra = symbols + g, distances + d, extra + e
+    if distances.any():
+        head, green, far = _costs(True)
+        costs += [(c + extra, k, True) for k, c in enumerate((head + green @ symbols + far @ distances).tolist())]
+    _, kind, refer = min(costs)
+    packer = Packer(_header(width, height) + "0" + _plan(kind, refer)[0])
+    for slab in slabs or (Slab(*p) for p in parts):
+        slab.write(packer, kind, refer)
+    return _file(width, height, packer)

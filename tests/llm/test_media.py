@@ -83,8 +83,42 @@ def test_round_trip_of_samples():
         webp.encode_samples(b"x")
     with pytest.raises(ValueError):
         webp.decode(b"RIFFxxxxWEBPVP8 ")
-    with pytest.raises(ValueError, match="early"):
-        webp.decode(webp.encode_samples(b"abcd" * 64)[:-60])
+    for payload in (random.Random(2).randbytes(640), (b"some words that are written again. " * 40)[:1280], b"abcdefgh" * 160):
+        with pytest.raises(ValueError, match="early|without symbols|outside|incomplete|no complete|too many"):
+            webp.decode(webp.encode_samples(payload)[:-12])
+
+
+def test_round_trip_of_every_form():
+    """Palettes of all sizes, repeats near and far, scripts, long runs, slabs, one kind of byte."""
+    rnd = random.Random(2)
+    prose = " ".join(rnd.choice(["harbour", "wind", "letters", "quiet", "rose"]) + str(rnd.randrange(99)) for _ in range(400))
+    some = [bytes(rnd.choices(range(k), k=640)) for k in (1, 2, 3, 4, 5, 16, 17)]
+    some += [prose, prose + prose, "привет мир " * 40, "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(900)), "ab" * 9000, "x" * 100_000, (prose * 3)[: 2 * webp.LONGEST + 9], "123,456;" * 50]
+    some.append(rnd.randbytes(3000) + b"z" * 5000 + rnd.randbytes(3000))
+    raw = [t.encode() if isinstance(t, str) else t for t in some]
+    used = set()
+    for t in raw:
+        payload = t.ljust(-(-len(t) // 64) * 64, b"\0")
+        file = webp.encode_samples(payload)
+        assert webp.samples(file)[: len(payload)] == payload and webp.encode_samples(payload) == file
+        assert ((webp.decode(file) >> 8) & 255).astype(np.uint8).tobytes()[: len(payload)] == payload
+        used.add((len(set(payload)) <= 16, len(webp.references(payload)[0]) > 0))
+        if len(set(t)) > 17 and t is not raw[-1]:
+            assert len(file) < 0.85 * len(payload) + 150, (t[:20], len(file), len(payload))
+    assert used == {(True, True), (True, False), (False, True), (False, False)} or {(False, True), (False, False)} <= used
+    long = prose.encode() * 400
+    long = long[: min(webp.SLAB + 64 * 5000, len(long) // 64 * 64)]
+    assert webp.samples(webp.encode_samples(long))[: len(long)] == long and len(webp.encode_samples(long)) < len(long) / 20
+
+
+def test_references_repeat_what_they_say():
+    payload = b"0123456789abcdefghij" * 3 + b"--" + b"0123456789abcdefghij" + b"q" * 40
+    start, length, back = webp.references(payload)
+    done = 0
+    for a, n, d in zip(start.tolist(), length.tolist(), back.tolist()):
+        assert a >= done and d <= a and n >= webp.LEAST and all(payload[a + i] == payload[a + i - d] for i in range(n))
+        done = a + n
+    assert length.sum() >= 40 + 12 + 30
 
 
 def test_literals_references_and_cache():
