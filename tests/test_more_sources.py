@@ -3,7 +3,7 @@
 import io
 
 import numpy as np
-from fixtures import SHARDED, pixels_store, stored
+from fixtures import FLAGGED, SHARDED, pixels_store, stored
 from test_sources import expected, refused, rows_of
 
 from cubespark.model import Range
@@ -60,3 +60,30 @@ def test_sql_text(spark, tmp_path):
     assert n == sum(v is not None for v in want) and total == sum(v for v in want if v is not None)
     rows = spark.sql("SELECT * FROM region_runs(1, 2, 3, 2, X'010001000101') ORDER BY y, x_begin").collect()
     assert [tuple(r) for r in rows] == [(2, 1, 2), (2, 3, 4), (3, 2, 4)]
+
+
+def test_workloads(spark, tmp_path):
+    """Every mode runs its planned operations; the same positions give the same checksums in another layout, and results are complete."""
+    from cubespark.operators import layouts, positions
+    from cubespark.plans import workloads
+
+    one, other = pixels_store(tmp_path / "a"), pixels_store(tmp_path / "b", l_fastest=True)
+    modes = {"open": 1, "plane": 3, "spectrum": 2, "region": 2, "cube_histogram": 1, "animation": 1}
+    settings = positions.Settings(fraction=0.2, frames=3)
+    found = [workloads.trials(spark, p, modes, settings=settings, label=p[-1], seed=4) for p in (one, other)]
+    rows = [r.collect() for r in found]
+    assert [r["mode"] for r in rows[0]] == [m for m, n in modes.items() for _ in range(n)] and all(r.status == "ok" and r.seconds > 0 for some in rows for r in some)
+    assert [(r.position, r.checksum, r.elements) for r in rows[0]] == [(r.position, r.checksum, r.elements) for r in rows[1]]
+    plane = next(r for r in rows[0] if r["mode"] == "plane")
+    channel, polarization = int(plane.position.split("chan=")[1].split(":")[0]), int(plane.position[4])
+    want = np.where(FLAGGED, np.nan, stored())[0, channel, polarization].T.ravel().astype(np.float32)
+    assert plane.checksum == workloads._sum(want) and plane.elements == 42
+    played = next(r for r in rows[0] if r["mode"] == "animation")
+    assert played.frames_played == 3 and played.frame_median_s <= played.frame_max_s
+    both = found[0].unionByName(found[1])
+    assert layouts.checksum_mismatches(both, ["mode", "position"]).count() == 0
+    results.write_results(both, str(tmp_path / "r"))
+    back = results.read_results(spark, str(tmp_path / "r"))
+    assert results.complete_trials(back).count() == 12 and layouts.summary(back.withColumn("setting", back["label"]), ["setting", "mode"]).count() == 12
+    bad = workloads.trial(spark, one, "cube_histogram", settings=positions.Settings.histogram("sampled:2")).first()
+    assert bad.method == "sampled" and bad.status == "ok"
