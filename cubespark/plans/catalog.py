@@ -91,6 +91,8 @@ ORACLE_SQL: dict[str, str] = {
     "nan_chunks": f"WITH {CHANNELS} SELECT count(*) * 20 AS chunks, count(*) FILTER (channel % 7 = 3) * 20 AS all_nan_chunks FROM ch",
     "read_model_fit": """WITH s AS (SELECT sum(l_quantity * l_quantity) AS pp, sum(l_quantity * l_linenumber) AS pc, sum(l_linenumber::DOUBLE * l_linenumber) AS cc, sum(l_quantity * l_extendedprice / 1000) AS ps, sum(l_linenumber * l_extendedprice / 1000) AS cs FROM lineitem)
         SELECT round((pp * cc - pc * pc) / (ps * cc - cs * pc), 6) AS pixels_per_s, round((cs * pp - ps * pc) / (pp * cc - pc * pc), 6) AS seconds_per_chunk FROM s""",
-    "pixel_identity": "SELECT 2 AS channel, 9 AS y, 64 AS pixels",
+    "pixel_identity": f"WITH {PIXELS} SELECT channel, y, count(*) AS pixels FROM px WHERE channel = 2 AND y = 9 AND raw IS NOT NULL GROUP BY ALL",
+    "fingerprint": f"WITH {PIXELS} SELECT count(*) AS pixels, true AS dealt, false AS exchanged, false AS shorter FROM px",
+    "cube_histogram_onepass": f"SELECT bin, sum(count) OVER (ORDER BY bin)::BIGINT AS upto, true AS within FROM ({histogram_of(40)})",
     "storage_rules": """SELECT p_partkey, (ceil(512 / (p_size + 1)) * ceil(300 / (p_size + 4)) * (p_size + 1) * (p_size + 4) * 4)::BIGINT AS run_bytes, round(sqrt((p_size + 1) * (p_size + 1) * 256 / (512 * 300)), 9) AS depth FROM part""",
 } | SQL

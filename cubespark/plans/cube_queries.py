@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixels import Bins, folded
@@ -126,8 +126,14 @@ def cube_histogram_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cube_histogram_onepass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts up to each bin, exact, and whether those of one pass are between the exact ones of the bin before and the bin behind."""
     pixels, cube = vector_cube(spark, sf_dir)
-    return histogram.cube_histogram_onepass(pixels, cube, 40, _whole(cube))
+    exact = histogram.cube_histogram_exact(pixels, cube, 40, _whole(cube))[1]
+    one = histogram.cube_histogram_onepass(pixels, cube, 40, _whole(cube)).select("bin", F.col("count").alias("near"))
+    line = Window.orderBy("bin")  # a row a bin
+    upto = exact.join(one, "bin").select("bin", F.sum("count").over(line).alias("upto"), F.sum("near").over(line).alias("near"))
+    before, behind = F.coalesce(F.lag("upto").over(line), F.lit(0)), F.coalesce(F.lead("upto").over(line), F.col("upto"))
+    return upto.select("bin", "upto", ((F.col("near") >= before) & (F.col("near") <= behind)).alias("within"))
 
 
 def _masked_runs(spark: SparkSession, sf_dir: str):
