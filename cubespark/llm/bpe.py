@@ -14,6 +14,8 @@ file (fixed size, whatever the input), so it is read where it is needed.
 
 Null texts count as empty and give no ids; empty tables give empty results;
 repeated rows each give a row; null doc_ids are kept; other columns are left out.
+Very long texts are encoded in full (one is a block by itself); special strings inside
+texts are special tokens.
 """
 
 from __future__ import annotations

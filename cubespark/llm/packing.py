@@ -17,7 +17,10 @@ pieces follow the plan in parallel; it is what placing them one by one gives.
 
 Documents: a null text counts as empty and is a piece of its end token alone;
 null and repeated doc_ids each keep their own pieces; an empty table packs to
-an empty table; other columns are left out.
+an empty table; other columns are left out.  Very long texts are cut into as many
+pieces as they need.  Of groups of sequences that fit equally well the one that stands
+first is taken, and of pieces of one length the order of parts and places decides, so
+that a run that is repeated over the same parts gives the same sequences.
 """
 
 from __future__ import annotations

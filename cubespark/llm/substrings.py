@@ -1,4 +1,4 @@
-"""Exact repeated passages by difference-cover anchors.
+"""Repeated passages by difference-cover anchors.
 
 A window is ``window`` consecutive words of one text.  Every word that lies in
 a window whose word sequence also starts anywhere else is repeated.
@@ -14,7 +14,8 @@ blocks (compressed, many rows each), and
    another block, or another place of the same block, holds comes back marked;
 2. windows that contain a marked anchor are candidates: their hashes (96 bits)
    go out in the same way, and those met again are the repeated windows - the
-   extension of an anchor to the whole match;
+   extension of an anchor to the whole match (two windows are taken for the same if
+   these hashes are; none is compared word by word);
 3. words under repeated windows are cut.
 
 A block sends each hash once, however often it holds it, so that a passage that
