@@ -57,6 +57,6 @@ def linear_fit(samples: DataFrame, axis: str = "axis", reference: Column | None
 
 def beams(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """(time, channel, polarization, major, minor, pa) from long cells (time, channel, polarization, param, value) and labels (param, label), matched whatever their case."""
-    named = cells.join(F.broadcast(labels), "param").withColumn("label", F.lower("label"))
+    named = cells.join(labels, "param").withColumn("label", F.lower("label"))
     out = named.groupBy("time", "channel", "polarization").pivot("label", ["major", "minor", "pa"]).agg(F.first("value"))
     return out.orderBy("time", "channel", "polarization")

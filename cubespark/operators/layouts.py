@@ -47,7 +47,7 @@ def first_touch_sample(rows: DataFrame, group: list[str] = GROUP, comparison: st
     """Rows to compare: first touches (no chunk shared) where every group of a comparison has enough of them, else all."""
     own = rows.groupBy(*group).agg(F.count_if(~F.col("shares_chunks")).alias("first"))
     enough = own.groupBy(comparison).agg(F.bool_and(F.col("first") >= least).alias("enough"))
-    return rows.join(F.broadcast(enough), comparison).filter(~F.col("enough") | ~F.col("shares_chunks")).drop("enough")
+    return rows.join(enough, comparison).filter(~F.col("enough") | ~F.col("shares_chunks")).drop("enough")
 
 
 def summary(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
@@ -70,7 +70,7 @@ def summary(rows: DataFrame, group: list[str] = GROUP) -> DataFrame:
 def scores(times: DataFrame, weights: DataFrame, layout: str = "setting", mode: str = "mode") -> DataFrame:
     """(layout, score, worst, rank) of (layout, mode, seconds): weighted geometric mean of the slowdowns against each mode's best."""
     best = times.groupBy(mode).agg(F.min("seconds").alias("best"))
-    slow = times.join(F.broadcast(best), mode).join(F.broadcast(weights), mode).withColumn("slow", F.col("seconds") / F.col("best"))
+    slow = times.join(best, mode).join(weights, mode).withColumn("slow", F.col("seconds") / F.col("best"))
     found = slow.groupBy(layout).agg(F.exp(F.sum(F.col("weight") * F.log("slow")) / F.sum("weight")).alias("score"), F.max("slow").alias("worst"))
     return found.withColumn("rank", F.rank().over(Window.orderBy("score", layout)))
 

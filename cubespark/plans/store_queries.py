@@ -6,6 +6,7 @@ import json
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..model import Axis, CubeMeta, PlaneSelection, Range, Region, Statistic
 from ..operators import histogram, positions, reduce, regions, selection
 from ..session import reachable, shared_folder
 from ..sources import cube as cubes
-from ..sources import images, results, rewrite, sink, sql, synthetic, zarr
+from ..sources import fits, images, results, rewrite, sink, sql, synthetic, zarr
 from ..sources.tables import HEIGHT, WIDTH, table, vector_cube
 from ..sources.writer import write_array, write_group
 from ..streaming import progress, readahead
@@ -279,6 +280,18 @@ def zarr_raw_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, int(np.isnan(values).sum()), round(float(good.sum()), 4), round(float((good * good).sum()), 4), float(values[0]), float(values[WIDTH]))], "n bigint, nan bigint, sum double, sum_sq double, first double, next_row double")
 
 
+def zarr_fits_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A FITS file of the store read back: every pixel, and what the cards say of the axes."""
+    path, _ = _store(spark, sf_dir)
+    image, file = images.open_dataset(path).image("SKY"), f"{_local(spark, 'fits')}/cube.fits"
+    fits.write_fits(cubes.load(spark, path, "SKY"), image, file, path)
+    cards, values = fits.read_fits(file)
+    channel, y, x = np.indices(values.shape[1:])
+    frame = spark.createDataFrame(pa.table({"channel": channel.ravel(), "y": y.ravel(), "x": x.ravel(), "value": values.astype(np.float64).ravel()}))
+    axes = "|".join(f"{cards[f'CTYPE{i}']} {cards[f'NAXIS{i}']} {cards[f'CRPIX{i}']:g}" for i in range(1, 5))
+    return frame.select("channel", "y", "x", F.when(~F.isnan("value"), F.col("value")).alias("value"), F.lit(axes).alias("axes"), F.lit(Path(file).stat().st_size % 2880).alias("over"))
+
+
 def zarr_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region's sums by SQL text alone: a view of the pixels and the runs of a raster as a table function."""
     path, _ = _store(spark, sf_dir)

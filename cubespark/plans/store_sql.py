@@ -72,6 +72,7 @@ SQL: dict[str, str] = {
     "zarr_rounded": f"WITH {PIXELS} SELECT channel, count(*) AS pixels, 0 AS off, 0 AS nan_moved FROM px GROUP BY channel",
     "zarr_raw_sink": f"""WITH {PIXELS} SELECT count(*) AS n, count(*) - count(raw) AS nan, round(sum(raw::DOUBLE), 4) AS sum, round(sum(raw::DOUBLE * raw::DOUBLE), 4) AS sum_sq,
         max(raw::DOUBLE) FILTER (channel = 0 AND y = 0 AND x = 0) AS first, max(raw::DOUBLE) FILTER (channel = 0 AND y = 1 AND x = 0) AS next_row FROM px""",
+    "zarr_fits_sink": f"WITH {PIXELS}, {C} SELECT channel, y, x, v::DOUBLE AS value, 'RA---SIN 64 33|DEC--SIN 25 13|FREQ ' || c || ' 1|STOKES 1 1' AS axes, 0 AS over FROM px, n",
     "zarr_sql_text": f"WITH {PIXELS}, {RASTER} SELECT channel, count(*) AS pixels, round(coalesce(sum(v::DOUBLE), 0), 6) AS sum FROM px JOIN rs USING (x, y) WHERE region_id = 1 GROUP BY channel",
     "zarr_pieces": f"WITH {C} SELECT p AS piece, 16 * p AS first, least(16 * p + 15, c - 1) AS last, (least(16 * p + 16, c) - 16 * p) * 1600 AS pixels, true AS prefix, least(16 * p + 16, c) * 1600 AS done, c * 1600 AS total FROM n, range(1000) r(p) WHERE 16 * p < c",
     "zarr_plane_runs": f"WITH {C}, {_EACH} SELECT channel, channel // 4 AS run, channel // 4 * 4 AS first, least(4, c - channel // 4 * 4) AS channels, 64 AS width, 25600 AS bytes, 32000 AS flagged_bytes FROM ch, n",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,21 +71,26 @@ def ordered_fingerprint(values: np.ndarray) -> int:
     return h
 
 
-def write_raw(pixels: DataFrame, out) -> int:
-    """float32 values in logical order to a binary stream, a partition at a time; returns how many."""
-    n = 0
+def ordered_values(pixels: DataFrame, kind: str = "<f4") -> Iterator[bytes]:
+    """Values in logical order as bytes, about a million at a time, partition after partition."""
     ordered = pixels.orderBy("time", "polarization", "channel", "y", "x").select("value")
 
     def packed(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 18):
-                values = batch.column(0).slice(at, 1 << 18).to_numpy(zero_copy_only=False).astype("<f4")
+                values = batch.column(0).slice(at, 1 << 18).to_numpy(zero_copy_only=False).astype(kind)
                 yield pa.RecordBatch.from_pydict({"raw": pa.array([values.tobytes()], pa.binary())})
 
-    # Rows of a million bytes, not of a pixel, come to the driver, partition after partition.
     for row in ordered.mapInArrow(packed, "raw binary").toLocalIterator(prefetchPartitions=True):
-        out.write(row[0])
-        n += len(row[0]) // 4
+        yield row[0]
+
+
+def write_raw(pixels: DataFrame, out) -> int:
+    """float32 values in logical order to a binary stream; returns how many."""
+    n = 0
+    for part in ordered_values(pixels):
+        out.write(part)
+        n += len(part) // 4
     return n
 
 

@@ -8,7 +8,7 @@ from test_sources import expected, refused, rows_of
 
 from cubespark.model import Range
 from cubespark.operators.layouts import differing_pixels
-from cubespark.sources import cube, images, results, rewrite, sql
+from cubespark.sources import cube, fits, images, results, rewrite, sql
 
 
 def test_rewrite_crops_and_keeps_values(spark, tmp_path):
@@ -46,6 +46,19 @@ def test_raw_sink_and_ordered_fingerprint(spark, tmp_path):
     assert results.ordered_fingerprint(np.zeros(0, np.float32)) == results.FNV_OFFSET
 
 
+def test_fits_sink(spark, tmp_path):
+    path, target = pixels_store(tmp_path / "s"), str(tmp_path / "cube.fits")
+    image = images.open_dataset(path).image("SKY")
+    assert fits.write_fits(cube.load(spark, path), image, target, path) == 336 and sorted(p.name for p in tmp_path.iterdir()) == ["cube.fits", "s"]
+    cards, values = fits.read_fits(target)
+    assert np.array_equal(values, np.where(FLAGGED, np.nan, stored())[0].transpose(1, 0, 3, 2), equal_nan=True)
+    assert (cards["CTYPE1"], cards["CTYPE2"], cards["CRPIX1"], cards["CRVAL3"], cards["CDELT3"], cards["RADESYS"], cards["EQUINOX"]) == ("RA---TAN", "DEC--TAN", 4.0, 1.2e9, 5e5, "FK5", 1950.0) and "CTYPE4" not in cards
+    assert fits.card("OBJECT", "it's") == b"OBJECT  = 'it''s   '".ljust(80)
+    refused("invalid_argument", fits.write_fits, cube.load(spark, path), image, target, target)
+    refused("invalid_argument", fits.write_fits, cube.load(spark, path, channels="0:1"), image, str(tmp_path / "short"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["cube.fits", "s"]
+
+
 def test_compression_ratio(spark, tmp_path):
     plain = images.open_dataset(pixels_store(tmp_path / "a"))
     sharded = images.open_dataset(pixels_store(tmp_path / "b", codecs=SHARDED([1, 1, 1, 1, 2])))

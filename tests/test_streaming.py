@@ -145,6 +145,26 @@ def test_read_ahead_refusals(pixels):
     kept.unpersist()
 
 
+def test_cache_pool(pixels):
+    """Reads are kept up to the limit, the one unused for longest goes, and a pool of 0 keeps nothing."""
+    pool, made = readahead.CachePool(2 * 48 * 4), []
+
+    def read(c):
+        found = readahead.prefetch(pixels, CUBE, at(c), pool)[0]
+        made.append(found)
+        return found
+
+    a, b = read(0), read(1)
+    assert read(0) is a and pool.held == 384
+    read(2)
+    assert a.is_cached and not b.is_cached and read(1) is not b and not a.is_cached
+    pool.clear()
+    assert pool.held == 0 and not any(f.is_cached for f in made)
+    nothing = readahead.CachePool(0)
+    assert not readahead.prefetch(pixels, CUBE, at(0), nothing)[0].is_cached and nothing.held == 0
+    refused("invalid_argument", readahead.CachePool, -1)
+
+
 def test_failing_fetch_stops():
     def broken(read):
         raise MemoryError
