@@ -194,7 +194,7 @@ def zarr_image(spark: SparkSession, sf_dir: str) -> DataFrame:
         o["object"], o["telescope"], *o["position"], o["mjd"], *o["pointing"], i.spectral["frame"], i.spectral["rest_frequency"], i.temporal["scale"], i.temporal["format"],
         json.dumps(i.keywords, sort_keys=True), ",".join(sorted(x.message for x in i.diagnostics if x.code == "unsupported_keyword")),
     )
-    texts = ("type", "unit", "flag", "groups", "fastest", "compressor", "projection", "frame")
+    texts = ("type", "unit", "flag", "data_groups", "fastest", "compressor", "projection", "frame")
     numbers = ("equinox", "ra", "dec", "pole_ra", "pole_dec")
     schema = ", ".join([*(f"{n} string" for n in texts), *(f"{n} double" for n in numbers), "parameters int, object string, telescope string, px double, py double, pz double, mjd double, pointing_ra double, pointing_dec double, spectral_frame string, rest_frequency double, time_scale string, time_format string, keywords string, left_out string"])
     found = spark.createDataFrame([row], schema)
@@ -266,7 +266,7 @@ def zarr_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["channel", "y", "x"]
     both = cubes.load(spark, path, "SKY").select(*key, F.col("value").alias("a")).join(cubes.load(spark, target, "SKY").select(*key, F.col("value").alias("b")), key)
     off = F.abs(F.col("a").cast("double") - F.col("b").cast("double")) > F.abs("a").cast("double") / 256
-    return both.groupBy("channel").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(off).alias("off"), F.count_if(F.isnan("a") != F.isnan("b")).alias("nan_moved"))
+    return both.groupBy("channel").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(off).alias("too_far"), F.count_if(F.isnan("a") != F.isnan("b")).alias("nan_moved"))
 
 
 def zarr_raw_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +277,7 @@ def zarr_raw_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = results.write_raw(pixels, out)
     values = np.fromfile(file, "<f4")
     good = values[~np.isnan(values)].astype(float)
-    return spark.createDataFrame([(n, int(np.isnan(values).sum()), round(float(good.sum()), 4), round(float((good * good).sum()), 4), float(values[0]), float(values[WIDTH]))], "n bigint, nan bigint, sum double, sum_sq double, first double, next_row double")
+    return spark.createDataFrame([(n, int(np.isnan(values).sum()), round(float(good.sum()), 4), round(float((good * good).sum()), 4), float(values[0]), float(values[WIDTH]))], "n bigint, nan_values bigint, sum double, sum_sq double, first_value double, next_row double")
 
 
 def zarr_fits_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +289,7 @@ def zarr_fits_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     channel, y, x = np.indices(values.shape[1:])
     frame = spark.createDataFrame(pa.table({"channel": channel.ravel(), "y": y.ravel(), "x": x.ravel(), "value": values.astype(np.float64).ravel()}))
     axes = "|".join(f"{cards[f'CTYPE{i}']} {cards[f'NAXIS{i}']} {cards[f'CRPIX{i}']:g}" for i in range(1, 5))
-    return frame.select("channel", "y", "x", F.when(~F.isnan("value"), F.col("value")).alias("value"), F.lit(axes).alias("axes"), F.lit(Path(file).stat().st_size % 2880).alias("over"))
+    return frame.select("channel", "y", "x", F.when(~F.isnan("value"), F.col("value")).alias("value"), F.lit(axes).alias("axes"), F.lit(Path(file).stat().st_size % 2880).alias("past_block"))
 
 
 def zarr_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +310,7 @@ def zarr_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         column = piece.column("channel").to_numpy()
         rows.append((i, int(column.min()), int(column.max()), piece.num_rows, bool((np.diff(column) >= 0).all() and column.min() == first)))
         first = int(column.max()) + 1
-    return spark.createDataFrame([(*r, *t) for r, t in zip(rows, told)], "piece int, first int, last int, pixels bigint, prefix boolean, done bigint, total bigint")
+    return spark.createDataFrame([(*r, *t) for r, t in zip(rows, told)], "piece int, low int, high int, pixels bigint, prefix boolean, done bigint, total bigint")
 
 
 def zarr_plane_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +322,7 @@ def zarr_plane_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         run = readahead.run_of(deep, selection.whole(deep, spectral=Range(c, 1)))
         read = readahead.run_request(deep, run)
         rows.append((c, next(a for r, a, _ in run if r == "spectral"), read["spectral"].start, read["spectral"].count, read["x"].count, readahead.plane_run_bytes(deep), readahead.plane_run_bytes(deep, True)))
-    return spark.createDataFrame(rows, "channel int, run int, first int, channels int, width int, bytes bigint, flagged_bytes bigint")
+    return spark.createDataFrame(rows, "channel int, run int, low int, channels int, width int, bytes bigint, flagged_bytes bigint")
 
 
 def stream_region_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,7 +450,7 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "bins 0": (Bins, 0, 0.0, 1.0), "bounds": (Bins, 4, 1.0, 1.0), "bounds wide": (Bins, 4, 0.0, 1e39), "no statistic": (reduce.spectral_reduce, pixels, box, pixels, pixels, PlaneSelection(Range(0, 1)), Statistic(0)),
         "nothing ahead": (readahead.ReadAhead, []), "small cache": (readahead.ReadAhead, [readahead.Source("a", box, print, "c", 10)]), "schema": (images.probe, "/nowhere", "other"), "mode": (positions.plan, "nap", box),
     }
-    return spark.createDataFrame([(name, _code(*call)) for name, call in cases.items()], "case string, code string")
+    return spark.createDataFrame([(name, _code(*call)) for name, call in cases.items()], "what string, code string")
 
 
 def results_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,6 +509,6 @@ def planned_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for mode in ("plane", "spectrum", "region"):
         ops = positions.operations(spark, positions.plan(mode, cube, 5, 1, 4, 3), cube)
-        one = ops.groupBy(F.lit(mode).alias("mode")).agg(F.count(F.lit(1)).alias("ops"), F.count_distinct("x", "y", "channel", "polarization").alias("distinct"), F.count_if("overlap").alias("overlap"), (F.max(F.col("x") + F.col("width")) <= WIDTH).alias("inside"), F.max(F.col("width") * F.col("height") * F.col("channels")).alias("pixels"))
+        one = ops.groupBy(F.lit(mode).alias("mode")).agg(F.count(F.lit(1)).alias("ops"), F.count_distinct("x", "y", "channel", "polarization").alias("unlike"), F.count_if("overlap").alias("overlap"), (F.max(F.col("x") + F.col("width")) <= WIDTH).alias("inside"), F.max(F.col("width") * F.col("height") * F.col("channels")).alias("pixels"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -54,7 +54,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'frequency', 'spectral', 1, channel, 1.4e9 + channel * 1e6, NULL FROM (SELECT DISTINCT vec_id // 25 AS channel FROM embeddings) UNION ALL SELECT 'polarization', 'polarization', 2, 0, NULL, 'I' UNION ALL SELECT 'time', 'time', 0, 0, 1.7e9, NULL""",
     "zarr_axes": """SELECT 'l' AS axis, true AS uniform, round(degrees(-1e-5), 9) AS increment, 0.0::DOUBLE AS reference_value, 33.0::DOUBLE AS reference_pixel, '' AS notes
         UNION ALL SELECT 'm', true, round(degrees(1e-5), 9), 0.0, 13.0, '' UNION ALL SELECT 'frequency', true, 1e6, 1.4e9, 1.0, ''""",
-    "zarr_image": """SELECT 'sky' AS type, 'Jy/beam' AS unit, 'BAD' AS flag, 'base' AS groups, 'y' AS fastest, 'zstd' AS compressor, 'SIN' AS projection, 'ICRS' AS frame, 2000.0::DOUBLE AS equinox, round(degrees(1.25), 6) AS ra, round(degrees(-0.5), 6) AS dec,
+    "zarr_image": """SELECT 'sky' AS type, 'Jy/beam' AS unit, 'BAD' AS flag, 'base' AS data_groups, 'y' AS fastest, 'zstd' AS compressor, 'SIN' AS projection, 'ICRS' AS frame, 2000.0::DOUBLE AS equinox, round(degrees(1.25), 6) AS ra, round(degrees(-0.5), 6) AS dec,
         0.0::DOUBLE AS pole_ra, round(degrees(1.5), 6) AS pole_dec, 1 AS parameters, 'Field 7' AS object, 'Dish' AS telescope, round(6371000 * cos(-0.4) * cos(2.0), 6) AS px, round(6371000 * cos(-0.4) * sin(2.0), 6) AS py, round(6371000 * sin(-0.4), 6) AS pz,
         round(40587 + 1.7e9 / 86400, 6) AS mjd, round(degrees(1.25), 6) AS pointing_ra, round(degrees(-0.5), 6) AS pointing_dec, 'LSRK' AS spectral_frame, 1.420405751e9::DOUBLE AS rest_frequency, 'UTC' AS time_scale, 'UNIX' AS time_format,
         '{"note": "image''s", "run": 4, "site": "here"}' AS keywords, 'keyword big is left out,keyword deep is left out' AS left_out""",
@@ -69,13 +69,13 @@ SQL: dict[str, str] = {
     "zarr_world": f"WITH {PIXELS} SELECT channel, count(*) AS pixels, 1.4e9 + channel * 1e6 AS low, 1.4e9 + channel * 1e6 AS high FROM px GROUP BY channel",
     "zarr_rewritten": f"""WITH {PIXELS} SELECT channel - 1 AS channel, count(*) AS pixels, count(v) AS good, round(coalesce(sum(v::DOUBLE), 0), 6) AS sum, 1.4e9 + channel * 1e6 AS frequency FROM px
         WHERE x BETWEEN 8 AND 47 AND y BETWEEN 2 AND 21 AND channel BETWEEN 1 AND 9 GROUP BY px.channel""",
-    "zarr_rounded": f"WITH {PIXELS} SELECT channel, count(*) AS pixels, 0 AS off, 0 AS nan_moved FROM px GROUP BY channel",
-    "zarr_raw_sink": f"""WITH {PIXELS} SELECT count(*) AS n, count(*) - count(raw) AS nan, round(sum(raw::DOUBLE), 4) AS sum, round(sum(raw::DOUBLE * raw::DOUBLE), 4) AS sum_sq,
-        max(raw::DOUBLE) FILTER (channel = 0 AND y = 0 AND x = 0) AS first, max(raw::DOUBLE) FILTER (channel = 0 AND y = 1 AND x = 0) AS next_row FROM px""",
-    "zarr_fits_sink": f"WITH {PIXELS}, {C} SELECT channel, y, x, v::DOUBLE AS value, 'RA---SIN 64 33|DEC--SIN 25 13|FREQ ' || c || ' 1|STOKES 1 1' AS axes, 0 AS over FROM px, n",
+    "zarr_rounded": f"WITH {PIXELS} SELECT channel, count(*) AS pixels, 0 AS too_far, 0 AS nan_moved FROM px GROUP BY channel",
+    "zarr_raw_sink": f"""WITH {PIXELS} SELECT count(*) AS n, count(*) - count(raw) AS nan_values, round(sum(raw::DOUBLE), 4) AS sum, round(sum(raw::DOUBLE * raw::DOUBLE), 4) AS sum_sq,
+        max(raw::DOUBLE) FILTER (channel = 0 AND y = 0 AND x = 0) AS first_value, max(raw::DOUBLE) FILTER (channel = 0 AND y = 1 AND x = 0) AS next_row FROM px""",
+    "zarr_fits_sink": f"WITH {PIXELS}, {C} SELECT channel, y, x, v::DOUBLE AS value, 'RA---SIN 64 33|DEC--SIN 25 13|FREQ ' || c || ' 1|STOKES 1 1' AS axes, 0 AS past_block FROM px, n",
     "zarr_sql_text": f"WITH {PIXELS}, {RASTER} SELECT channel, count(*) AS pixels, round(coalesce(sum(v::DOUBLE), 0), 6) AS sum FROM px JOIN rs USING (x, y) WHERE region_id = 1 GROUP BY channel",
-    "zarr_pieces": f"WITH {C} SELECT p AS piece, 16 * p AS first, least(16 * p + 15, c - 1) AS last, (least(16 * p + 16, c) - 16 * p) * 1600 AS pixels, true AS prefix, least(16 * p + 16, c) * 1600 AS done, c * 1600 AS total FROM n, range(1000) r(p) WHERE 16 * p < c",
-    "zarr_plane_runs": f"WITH {C}, {_EACH} SELECT channel, channel // 4 AS run, channel // 4 * 4 AS first, least(4, c - channel // 4 * 4) AS channels, 64 AS width, 25600 AS bytes, 32000 AS flagged_bytes FROM ch, n",
+    "zarr_pieces": f"WITH {C} SELECT p AS piece, 16 * p AS low, least(16 * p + 15, c - 1) AS high, (least(16 * p + 16, c) - 16 * p) * 1600 AS pixels, true AS prefix, least(16 * p + 16, c) * 1600 AS done, c * 1600 AS total FROM n, range(1000) r(p) WHERE 16 * p < c",
+    "zarr_plane_runs": f"WITH {C}, {_EACH} SELECT channel, channel // 4 AS run, channel // 4 * 4 AS low, least(4, c - channel // 4 * 4) AS channels, 64 AS width, 25600 AS bytes, 32000 AS flagged_bytes FROM ch, n",
     "stream_region_statistics": f"WITH {PIXELS}, {BOXES} SELECT region_id, channel, {STATS}, true AS whole FROM sel GROUP BY ALL",
     "stream_histogram": f"WITH {PIXELS} SELECT {STATS}, count(v) AS counted, 3 AS snapshots, true AS rising FROM px",
     "qualify_nodes": _rows(
@@ -94,7 +94,7 @@ SQL: dict[str, str] = {
         ('two schemas', 'invalid', NULL, 'ambiguous_schema', NULL)""",
         "store, kind, schema_id, why, refused",
     ),
-    "refusals": _rows(", ".join(f"('{case}', {'NULL' if code is None else repr(code)})" for code, cases in _REFUSED.items() for case in cases), '"case", code'),
+    "refusals": _rows(", ".join(f"('{case}', {'NULL' if code is None else repr(code)})" for code, cases in _REFUSED.items() for case in cases), 'what, code'),
     "results_summary": """WITH e AS (SELECT event_type AS mode, round(value, 3) AS seconds, event_id % 5 = 0 AS shares, event_id % 89 = 0 AS failed, event_id % 4 AS late, round(value / 8, 3) AS frame FROM events),
         f AS (SELECT *, CASE WHEN NOT shares AND NOT failed THEN seconds END AS first FROM e), g AS (SELECT mode, count(first) AS first_touches, median(first) AS median_s, list_sort(list(first) FILTER (first IS NOT NULL)) AS t, sum(late) / (count(*) * 8) AS late_share, median(frame) AS frame FROM f GROUP BY mode)
         SELECT mode, first_touches, round(median_s, 6) AS median_s, round(t[ceil(len(t) * 0.9)::INT], 6) AS p90_s, round(late_share, 6) AS late_share, round(frame, 6) AS frame_median_s FROM g""",
@@ -108,5 +108,5 @@ SQL: dict[str, str] = {
         s AS (SELECT mode, n, w, (7 * g + k::UHUGEINT * 281474976710656 + 131072 + 1 + (n + 1)::UHUGEINT * g) % w AS z FROM m, k, range(16) r(n)),
         a AS (SELECT mode, n, w, xor(z, z >> 30) * 13787848793156543929::UHUGEINT % w AS z FROM s), b AS (SELECT mode, n, w, xor(z, z >> 27) * 10723151780598845931::UHUGEINT % w AS z FROM a), f AS (SELECT mode, n, w, xor(z, z >> 31) AS z FROM b)
         SELECT mode, n, lower(lpad(to_hex(z::UBIGINT), 16, '0')) AS word, (z * 1000 // w)::BIGINT AS scaled FROM f""",
-    "planned_positions": f"WITH {C} SELECT mode, 12 AS ops, least(12, CASE mode WHEN 'plane' THEN c ELSE 12 END) AS distinct, 0 AS overlap, true AS inside, CASE mode WHEN 'plane' THEN 1600 WHEN 'spectrum' THEN c ELSE 84 * c END AS pixels FROM n, (VALUES ('plane'), ('spectrum'), ('region')) v(mode)",
+    "planned_positions": f"WITH {C} SELECT mode, 12 AS ops, least(12, CASE mode WHEN 'plane' THEN c ELSE 12 END) AS unlike, 0 AS overlap, true AS inside, CASE mode WHEN 'plane' THEN 1600 WHEN 'spectrum' THEN c ELSE 84 * c END AS pixels FROM n, (VALUES ('plane'), ('spectrum'), ('region')) v(mode)",
 }
