@@ -194,6 +194,14 @@ def test_labels(tmp_path):
     assert codecs.crc32c(b"123456789") == 0xE3069283
 
 
+def test_checksums_side_by_side(monkeypatch):
+    """Parts that go side by side give the checksum of one run over all bytes."""
+    data = np.random.default_rng(3).bytes(70_001)
+    found = [codecs.crc32c(data[:n]) for n in (0, 5, 4095, 4096, 4097, 10_000, 70_001)]
+    monkeypatch.setattr(codecs, "SIDE_BY_SIDE", 1 << 40)
+    assert found == [codecs.crc32c(data[:n]) for n in (0, 5, 4095, 4096, 4097, 10_000, 70_001)]
+
+
 @pytest.mark.parametrize(("cname", "size"), [("zstd", 4), ("zlib", 8), ("lz4", 4), ("zstd", 1)])
 def test_blosc(cname, size):
     """Blocks that are split and not, shuffled and not, a short last block, raw parts and a raw buffer."""
