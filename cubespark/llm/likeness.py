@@ -16,9 +16,14 @@ one is kept.
 In a bucket a set is compared with those that hold one of its rarest shingles (sets of
 similarity ``least`` or more must share one of those), and a set that is already joined to
 the bucket's component is not compared again, so that a large group of near copies costs no
-row for each of its pairs.  A bucket of more than ``MOST`` sets is cut in slots by hash, and
-every two slots meet in a task of their own: no task holds more than two slots of a bucket,
-and no pair is left out.  A link is a pair whose Jaccard similarity, counted on the whole
+row for each of its pairs.
+
+A bucket of more than ``MOST`` sets is cut in slots by hash.  First each slot is compared in
+itself; then one set of every component that a bucket has, which joins what the slots found
+apart; and where a bucket still has several components, the sets of all but its largest go to
+every slot, that one's to their own.  So two sets of a bucket that are not joined yet meet in
+some slot, a group of near copies costs each of its sets a constant number of rows, and no task
+holds more than about a slot and the strays of one bucket.  A link is a pair whose Jaccard similarity, counted on the whole
 sets, is ``least`` or more; components of links by alternating stars.
 
 Null doc_ids have a row and join others like any; repeated rows each have a row; very long
@@ -34,7 +39,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, as_rows, blocks_of, numbered, ragged, stored
@@ -49,7 +54,7 @@ FACTORS = _RANDOM.integers(0, 1 << 32, BANDS * DEPTH, dtype=np.uint32) | np.uint
 SALTS = _RANDOM.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 #: Sets of a bucket that one task may hold, and rows (a set in a bucket) that a task is dealt, about.
-MOST, DEALT = 4096, 40_000
+MOST, DEALT = 1024, 40_000
 
 SIGNS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("print", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
@@ -147,7 +152,7 @@ def joined(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 
 
 def _links(batches, least: float):
-    """Links of every bucket (or two slots of one) that the task is dealt; they lie side by side."""
+    """Links of every slot of a bucket that the task is dealt; a slot's rows lie side by side."""
     held, sets, now = [], [], None
 
     def found():
@@ -156,7 +161,7 @@ def _links(batches, least: float):
         return as_rows(LINKS, a=distinct[[x for x, _ in pairs]], b=distinct[[y for _, y in pairs]]) if pairs else None
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("bucket", "left", "right", "node", "shingles")]
+        columns = [batch.column(n).to_pylist() for n in ("bucket", "slot", "node", "shingles")]
         for *at, node, shingles in zip(*columns):
             if at != now:
                 if held and (links := found()) is not None:
@@ -169,17 +174,50 @@ def _links(batches, least: float):
 
 
 def buckets_of(nodes: DataFrame, radius: int) -> DataFrame:
-    """(bucket, left, right, node): of all buckets of two nodes or more one for each set of members, large ones as pairs of slots."""
+    """(bucket, node, n): of all buckets of two nodes or more one for each set of members, with their number."""
     roots = components(near_links(nodes.select("print").distinct(), radius), "print-links")
     classed = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").select("node", F.xxhash64(F.lit("class"), F.coalesce("root", "print")).alias("bucket"))
     every = nodes.select("node", F.explode("bands").alias("bucket")).unionByName(classed)
     told = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("n > 1")
     kept = told.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    met = every.join(kept, "bucket")
-    slots = F.ceil(F.col("n") / MOST).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(2)), slots).cast("int")
-    dealt = met.select("bucket", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
-    return dealt.select("bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "node")
+    return every.join(kept, "bucket")
+
+
+def _slot(node: str, n: Column) -> Column:
+    return F.pmod(F.xxhash64(node, F.lit(2)), F.ceil(n / MOST)).cast("int")
+
+
+def _compared(slots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links within the slots (bucket, slot, node), written to the shared folder."""
+    slots = stored(slots, "slots")
+    tasks = max(int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots.count() // DEALT))
+    sent = slots.join(sets, "node").select("bucket", "slot", "node", "shingles")
+    dealt = sent.repartition(tasks, "bucket", "slot").sortWithinPartitions("bucket", "slot")
+    return stored(dealt.mapInArrow(functools.partial(_links, least=least), "a bigint, b bigint"), "likeness-links")
+
+
+def likeness_links(met: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that join the same nodes as all pairs of a bucket with similarity ``least`` do.
+
+    met: (bucket, node, n) of every member; sets: (node, shingles); both read several times.
+    """
+    links = _compared(met.select("bucket", _slot("node", F.col("n")).alias("slot"), "node"), sets, least)
+    large = met.filter(F.col("n") > MOST)
+    if large.isEmpty():
+        return links
+
+    def rooted() -> DataFrame:
+        return large.join(components(links, "slot-links"), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+
+    heads = rooted().groupBy("bucket", "root").agg(F.min("node").alias("node"))
+    many = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    links = links.unionByName(_compared(heads.join(many, "bucket").select("bucket", _slot("node", F.col("m")).alias("slot"), "node"), sets, least))
+    now = stored(rooted(), "rooted")
+    sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+    first = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.count(F.lit(1)).alias("apart")).filter("apart > 1").drop("apart")
+    own, last = _slot("node", F.col("n")), F.ceil(F.col("n") / MOST).cast("int") - 1
+    every = F.when(F.col("root") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), last))
+    return links.unionByName(_compared(now.join(first, "bucket").select("bucket", F.explode(every).alias("slot"), "node"), sets, least))
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
@@ -189,7 +227,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeat the doc_id with another text are judged by their own text.  Rows without a doc_id all
     stay, since no component can name them.
     """
-    spark, names = docs.sparkSession, docs.columns
+    names = docs.columns
     at, words = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     plain = numbered(docs).withColumn("key", F.xxhash64(F.col(words).cast("string"))).withColumn("id", F.col(at).cast("bigint"))
     source = plain.select("key", F.col("id").alias("doc_id"), F.col(words).cast("string").alias("text"))
@@ -200,12 +238,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = stored(buckets_of(nodes, radius), "met")
     asked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("first.key", "first.doc_id")
     texts = source.join(asked, (source["key"] == asked["key"]) & source["doc_id"].eqNullSafe(asked["doc_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(functools.partial(_sets, shingle=shingle), "node bigint, shingles binary").dropDuplicates(["node"])
-    sent = met.join(sets, "node").select("bucket", "left", "right", "node", "shingles")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-met.count() // DEALT))
-    dealt = sent.repartition(tasks, "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-    links = dealt.mapInArrow(functools.partial(_links, least=least), "a bigint, b bigint")
-    roots = components(links, "likeness-links")
+    sets = stored(texts.mapInArrow(functools.partial(_sets, shingle=shingle), "node bigint, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+    roots = components(likeness_links(met, sets, least), "likeness-links")
     rooted = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).filter("not first.lost").select("first.key", F.col("first.doc_id").alias("id"))
     kept = plain.join(chosen, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
