@@ -304,9 +304,9 @@ def zarr_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zarr_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a watched read hands over, piece by piece: always a prefix."""
-    pixels, cube = _load(spark, sf_dir, mask="false")
+    path, cube = _store(spark, sf_dir)
     told, rows, first = [], [], 0
-    for i, piece in enumerate(progress.read_in_pieces(pixels, cube, selection.whole(cube), lambda done, total: told.append((done, total)) or True)):
+    for i, piece in enumerate(progress.read_in_pieces(cubes.reader(spark, path, "SKY", mask="false"), cube, selection.whole(cube), lambda done, total: told.append((done, total)) or True, most=320)):
         column = piece.column("channel").to_numpy()
         rows.append((i, int(column.min()), int(column.max()), piece.num_rows, bool((np.diff(column) >= 0).all() and column.min() == first)))
         first = int(column.max()) + 1

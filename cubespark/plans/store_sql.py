@@ -74,7 +74,7 @@ SQL: dict[str, str] = {
         max(raw::DOUBLE) FILTER (channel = 0 AND y = 0 AND x = 0) AS first_value, max(raw::DOUBLE) FILTER (channel = 0 AND y = 1 AND x = 0) AS next_row FROM px""",
     "zarr_fits_sink": f"WITH {PIXELS}, {C} SELECT channel, y, x, v::DOUBLE AS value, 'RA---SIN 64 33|DEC--SIN 25 13|FREQ ' || c || ' 1|STOKES 1 1' AS axes, 0 AS past_block FROM px, n",
     "zarr_sql_text": f"WITH {PIXELS}, {RASTER} SELECT channel, count(*) AS pixels, round(coalesce(sum(v::DOUBLE), 0), 6) AS sum FROM px JOIN rs USING (x, y) WHERE region_id = 1 GROUP BY channel",
-    "zarr_pieces": f"WITH {C} SELECT p AS piece, 16 * p AS low, least(16 * p + 15, c - 1) AS high, (least(16 * p + 16, c) - 16 * p) * 1600 AS pixels, true AS prefix, least(16 * p + 16, c) * 1600 AS done, c * 1600 AS total FROM n, range(1000) r(p) WHERE 16 * p < c",
+    "zarr_pieces": f"WITH {C} SELECT p AS piece, 16 * p AS low, least(16 * p + 15, c - 1) AS high, (least(16 * p + 16, c) - 16 * p) * 1600 AS pixels, true AS prefix, least(16 * p + 16, c) * 1600 AS done, c * 1600 AS total FROM n, range(1000000) r(p) WHERE 16 * p < c",
     "zarr_plane_runs": f"WITH {C}, {_EACH} SELECT channel, channel // 4 AS run, channel // 4 * 4 AS low, least(4, c - channel // 4 * 4) AS channels, 64 AS width, 25600 AS bytes, 32000 AS flagged_bytes FROM ch, n",
     "stream_region_statistics": f"WITH {PIXELS}, {BOXES} SELECT region_id, channel, {STATS}, true AS whole FROM sel GROUP BY ALL",
     "stream_histogram": f"WITH {PIXELS} SELECT {STATS}, count(v) AS counted, 3 AS snapshots, true AS rising FROM px",

@@ -12,6 +12,7 @@ that tasks turn into boxes, so that the driver lists none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -206,6 +207,16 @@ def load(spark: SparkSession, path: str, image: str | None = None, **options) ->
     return spark.read.format("cube").options(path=path, **{k: str(v) for k, v in options.items()}).load()
 
 
+def options_of(ranges: dict[str, Range]) -> dict[str, str]:
+    """The load options of a selection."""
+    return {OPTION[role]: f"{r.start}:{r.count}:{r.stride}" for role, r in ranges.items() if role in OPTION}
+
+
+def reader(spark: SparkSession, path: str, image: str | None = None, **options) -> Callable[[dict[str, Range]], DataFrame]:
+    """What loads the pixels of a selection: each call is a scan of that selection's chunks alone."""
+    return lambda ranges: load(spark, path, image, **options, **options_of(ranges))
+
+
 def decoded_chunk_bytes(image: Image, flag: bool = True) -> int:
     """What one stored chunk takes decoded, its flags included."""
     n = int(np.prod(image.array.stored))

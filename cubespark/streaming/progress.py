@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import pickle
 import threading
 import time
@@ -19,8 +21,8 @@ from ..model import CubeMeta, PlaneSelection, Range, Statistic
 from ..operators.histogram import Provisional, provisional_bins, provisional_states
 from ..operators.reduce import aggregates, spectral_reduce
 from ..operators.regions import contained
-from ..operators.selection import hyperslab, within
-from ..sources.cube import SCHEMA
+from ..operators.selection import elements, hyperslab, whole, within
+from ..sources.cube import HELD, MOST, SCHEMA, Span
 
 MOST_BLOCK_BYTES, WATCHED_CHUNKS = 64 << 20, 16
 
@@ -66,19 +68,41 @@ def cuts(count: int, chunk: int, most: int) -> list[tuple[int, int]]:
     return [(a, min(a + step, count)) for a in range(0, count, step)]
 
 
-def read_in_pieces(pixels: DataFrame, cube: CubeMeta, ranges: dict[str, Range], progress: Callable[[int, int], bool], mask: bool = True) -> Iterator[pa.Table]:
-    """Pixels of a hyperslab in logical order as Arrow tables, piece by piece along the slowest axis that has more than one element.
+def plan_pieces(cube: CubeMeta, ranges: dict[str, Range], most: int = WATCHED_CHUNKS, budget: int = MOST) -> list[dict[str, Range]]:
+    """A selection as pieces in logical order, each of at most ``most`` chunks where that leaves whole planes.
+
+    The cut is along the slowest axis whose every index (of the axes before it: one at a time) has few enough chunks,
+    on chunk bounds; a plane is cut only if it alone would be over the budget, since its chunks are read again then.
+    """
+    order = list(reversed(cube.axes))
+    many = {a.role: Span(ranges[a.role], cube.chunk_of(a.role)).count for a in order}
+    wide = ranges["x"].count * ranges["y"].count * 4 * HELD > budget if {"x", "y"} <= set(ranges) else False
+    last = max((i for i, a in enumerate(order) if wide or a.role not in ("x", "y")), default=0)
+    below = [math.prod(many[a.role] for a in order[i + 1 :]) for i in range(len(order))]
+    at = next((i for i in range(last) if below[i] <= most and ranges[order[i].role].count > 1), last)
+    role, r = order[at].role, ranges[order[at].role]
+    deep = max(1, cube.chunk_of(role) // r.stride)
+    steps = cuts(r.count, deep, deep * max(1, most // below[at]))
+    slower = [[Range(i, 1) for i in ranges[a.role].indices()] for a in order[:at]]
+    out = []
+    for fixed in itertools.product(*slower):
+        one = ranges | {a.role: f for a, f in zip(order[:at], fixed)}
+        out += [one | {role: Range(r.start + a * r.stride, b - a, r.stride)} for a, b in steps]
+    return out
+
+
+#: Where pixels come from: a table of them, or what reads those of a selection (``cube.reader``), so that no part reads them all.
+Pixels = DataFrame | Callable[[dict[str, Range]], DataFrame]
+
+
+def read_in_pieces(pixels: Pixels, cube: CubeMeta, ranges: dict[str, Range], progress: Callable[[int, int], bool], mask: bool = True, most: int = WATCHED_CHUNKS) -> Iterator[pa.Table]:
+    """Pixels of a hyperslab in logical order as Arrow tables, piece by piece of at most ``most`` chunks.
 
     What was handed over is always a prefix; progress(elements so far, all) that returns False stops with ``cancelled``.
     """
-    total = 1
-    for r in ranges.values():
-        total *= r.count
-    slowest = next((a for a in reversed(cube.axes) if ranges[a.role].count > 1), cube.axes[0])
-    r, done = ranges[slowest.role], 0
-    for a, b in cuts(r.count, max(1, cube.chunk_of(slowest.role) // r.stride), max(1, cube.chunk_of(slowest.role) // r.stride * WATCHED_CHUNKS)):
-        part = ranges | {slowest.role: Range(r.start + a * r.stride, b - a, r.stride)}
-        rows = hyperslab(pixels, cube, part, mask).orderBy("time", "polarization", "channel", "y", "x").toArrow()
+    total, done = elements(ranges), 0
+    for part in plan_pieces(cube, ranges, most):
+        rows = hyperslab(pixels(part) if callable(pixels) else pixels, cube, part, mask).orderBy("time", "polarization", "channel", "y", "x").toArrow()
         done += rows.num_rows
         yield rows
         if not progress(done, total):
@@ -92,14 +116,15 @@ def block_channels(cube: CubeMeta, planes: PlaneSelection, emit_every: int, byte
     return n // chunk * chunk if n >= chunk else n
 
 
-def reduce_in_blocks(pixels: DataFrame, cube: CubeMeta, runs: DataFrame, region_ids: DataFrame, planes: PlaneSelection, statistics: Statistic, emit_every: int = 0, mask: bool = True) -> Iterator[tuple[int, DataFrame, float]]:
+def reduce_in_blocks(pixels: Pixels, cube: CubeMeta, runs: DataFrame, region_ids: DataFrame, planes: PlaneSelection, statistics: Statistic, emit_every: int = 0, mask: bool = True) -> Iterator[tuple[int, DataFrame, float]]:
     """(first selected channel, its block of statistics, share done): blocks in channel order, each final once."""
     many = region_ids.count()
     step = block_channels(cube, planes, emit_every, 8 * 7 * many)
     for a in range(0, planes.channels.count, step):
         n = min(step, planes.channels.count - a)
         part = PlaneSelection(Range(planes.channels.start + a * planes.channels.stride, n, planes.channels.stride), planes.polarization, planes.time)
-        block = spectral_reduce(pixels, cube, runs, region_ids, part, statistics, mask).withColumn("sel_channel", F.col("sel_channel") + a)
+        some = pixels(whole(cube, spectral=part.channels, polarization=Range(part.polarization, 1), time=Range(part.time, 1))) if callable(pixels) else pixels
+        block = spectral_reduce(some, cube, runs, region_ids, part, statistics, mask).withColumn("sel_channel", F.col("sel_channel") + a)
         yield a, block, (a + n) / planes.channels.count
 
 

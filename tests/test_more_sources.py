@@ -75,6 +75,27 @@ def test_sql_text(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(2, 1, 2), (2, 3, 4), (3, 2, 4)]
 
 
+def test_pieces_and_blocks_read_their_part_of_a_store(spark, tmp_path):
+    """Watched reads and blocks load each part's chunks alone, and give what one read gives."""
+    from cubespark.model import PlaneSelection, Region, Statistic
+    from cubespark.operators import reduce, regions, selection
+    from cubespark.streaming import progress
+
+    path = pixels_store(tmp_path / "s")
+    shape, asked = images.open_dataset(path).image("SKY").cube, []
+    load = cube.reader(spark, path, "SKY")
+    watched = lambda ranges: asked.append(cube.options_of(ranges)) or load(ranges)
+    got = [r for piece in progress.read_in_pieces(watched, shape, selection.whole(shape), lambda a, b: True) for r in piece.to_pylist()]
+    want = np.where(FLAGGED, np.nan, stored())[0].transpose(1, 0, 3, 2).ravel()
+    assert np.array_equal(np.array([r["value"] for r in got], np.float32), want, equal_nan=True) and [a["channels"] for a in asked] == ["0:4:1"] * 2
+    frame = regions.region_table(spark, [Region(0, 1, 1, 4, 5)], shape)
+    runs, ids, planes = regions.runs_of(frame), frame.select("region_id"), PlaneSelection(Range(1, 3), 1)
+    asked.clear()
+    blocks = [r for _, b, _ in progress.reduce_in_blocks(watched, shape, runs, ids, planes, Statistic.sum, emit_every=2) for r in b.collect()]
+    whole = reduce.spectral_reduce(cube.load(spark, path), shape, runs, ids, planes, Statistic.sum).collect()
+    assert sorted(blocks) == sorted(whole) and [a["channels"] for a in asked] == ["1:2:1", "3:1:1"] and {a["polarizations"] for a in asked} == {"1:1:1"}
+
+
 def test_workloads(spark, tmp_path):
     """Every mode runs its planned operations; the same positions give the same checksums in another layout, and results are complete."""
     from cubespark.operators import layouts, positions

@@ -30,6 +30,22 @@ def test_pieces_are_a_prefix(pixels):
         list(progress.read_in_pieces(pixels, CUBE, selection.whole(CUBE), lambda a, b: False))
 
 
+def test_planned_pieces():
+    """Pieces tile the selection in logical order, hold few chunks, keep planes whole unless one alone is too large."""
+    deep = cube_of(8, 6, 10, 2, 3, chunk={"x": 4, "y": 3, "spectral": 2})
+    place = lambda p: [(t, s, c, y, x) for t in p["time"].indices() for s in p["polarization"].indices() for c in p["spectral"].indices() for y in p["y"].indices() for x in p["x"].indices()]
+    for ranges, how, many in (
+        (selection.whole(deep), {}, 3 * 2 * 2),
+        (selection.whole(deep), {"most": 100}, 1),  # the times are one chunk
+        (selection.whole(deep), {"most": 1}, 3 * 2 * 5),
+        (selection.whole(deep, time=Range(1, 1), spectral=Range(1, 3, 3), x=Range(0, 2)), {"most": 4}, 2 * 2),
+        (selection.whole(CUBE), {"most": 2, "budget": 100}, 10 * 2),
+    ):
+        cube = CUBE if ranges["time"].count == 1 and ranges["spectral"].stride == 1 else deep
+        parts = progress.plan_pieces(cube, ranges, **how)
+        assert len(parts) == many and [at for p in parts for at in place(p)] == place(ranges)
+
+
 def test_blocks_tile_the_selection(spark, pixels):
     frame = regions.region_table(spark, [Region(0, 0, 0, 8, 6), Region(1, 2, 2, 3, 3)], CUBE)
     planes = PlaneSelection(Range(1, 4, 2))
