@@ -63,7 +63,7 @@ CUT_DDL = f"{COUNTS_DDL}, row bigint, segment bigint, part bigint, piece string"
 MAPS = pa.schema([*list(CUT)[:6], ("head", pa.string()), ("added", pa.int64()), ("out", pa.binary())])
 MAPS_DDL = f"{COUNTS_DDL}, row bigint, segment bigint, part bigint, head string, added bigint, out binary"
 #: Characters of a chunk; texts up to one chunk are counted where they are read.
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 #: Nodes with at most so many pieces below them look through those for what tells left neighbours apart.
 NARROW = 80
 
