@@ -15,7 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..session import shared_folder
 
 BLOCK_BYTES = 2 << 20
 #: Word separators of the contracts: space and U+0009 to U+000D.
@@ -102,24 +104,6 @@ def as_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(k).type) for k, x in ((n, columns[n]) for n in schema.names)], schema=schema)
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is missing, a folder of this machine is taken if Spark runs on this machine
-    alone (tests); on a cluster it raises, since a folder there is another one on every machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            root = found.get()
-        elif spark.sparkContext.master.split("[")[0] == "local":
-            root = "file:///tmp/checkpoints"
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df, written once to the shared folder and read back: lineage ends there and a lost executor costs nothing."""
     path = shared_folder(df.sparkSession, what)

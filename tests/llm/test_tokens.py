@@ -33,6 +33,13 @@ def test_encode_and_decode_as_the_library(docs, rows, library):
         assert found[i].decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_encoding_leaves_no_table(spark, docs):
+    """The bucketed files need a table's name only until they are read; the frame outlives it."""
+    before = [t.name for t in spark.catalog.listTables()]
+    encoded = bpe.encode(docs, PATH)
+    assert [t.name for t in spark.catalog.listTables()] == before and encoded.count() == docs.count() == encoded.filter("size(ids) >= 0").count()
+
+
 def test_encode_odd_tables(clashing, empty):
     assert sorted(map(str, (r.doc_id for r in bpe.encode(clashing, PATH).collect()))) == ["7", "7", "8", "None"]
     assert bpe.decode(bpe.encode(empty, PATH), PATH).count() == 0
