@@ -10,7 +10,7 @@ from fixtures import DRAWN, FLAGGED, FREQUENCIES, GZIP, SHAPE, SHARDED, SYSTEM,
 from cubespark.errors import CubeError
 from cubespark.model import CubeMeta, Range
 from cubespark.operators import selection
-from cubespark.session import Context
+from cubespark.session import Context, shared_folder
 from cubespark.sources import codecs, cube, images, sink, writer, zarr
 
 
@@ -241,6 +241,16 @@ def test_written_images_read_back(spark, tmp_path):
     refused("unsupported_transport", sink.write_image, pixels, "s3://x", "SKY", was, {})
 
 
+def test_shared_folder():
+    """The setting is taken; without one a folder of this machine, but not on a cluster."""
+    from types import SimpleNamespace as Stub
+
+    none = Stub(isDefined=lambda: False)
+    session = lambda master, root=None: Stub(conf=Stub(get=lambda k, d: root), sparkContext=Stub(master=master, _jsc=Stub(sc=lambda: Stub(getCheckpointDir=lambda: none))))
+    assert shared_folder(session("spark://a:1", "hdfs://x/y/"), "w").startswith("hdfs://x/y/w-") and shared_folder(session("local[3]"), "w").startswith("file:///tmp/checkpoints/w-")
+    refused("invalid_argument", shared_folder, session("local-cluster[2,1,1024]"), "w")
+
+
 def test_context():
     assert Context().settings().get("spark.master") is None and Context().storage is None
     made = Context(1 << 30, 4, 6)
