@@ -114,7 +114,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group
     """(doc_id, text, next_text): the text of the next document in descending order, of the first after the last."""
     rows = renamed(docs, doc_id, text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     known = rows.filter("doc_id is not null")
-    groups = min(MOST_GROUPS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // group)))
+    # Several groups for each task, so that tasks that are dealt them by hash have about as many.
+    groups = min(MOST_GROUPS, max(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // group)))
     bounds = bounds_of(known.select("doc_id"), groups)
     keyed = known.withColumn("hash", F.xxhash64("text")).withColumn("g", group_of(bounds))
     # The first row of a group goes to the group of greater keys too, that of the last group to the first one:
