@@ -3,7 +3,8 @@
 Sets: the shingles of ``shingle`` words that ``simhash`` takes (A-Z lower-cased; a
 text with fewer words has its whole sequence as the one shingle), as 64-bit hashes.
 Equal sets are one *node*, whatever the number of copies; texts without words share
-the empty set.
+the empty set.  A node's name is 64 bits of its set, so that among 10**9 different sets
+two have one name with a chance of 0.03.
 
 Candidates come in *buckets*.  The classes of SimHash fingerprints over the same
 shingles (``simhash.near_links``: BK-trees, ``radius`` bits) are one kind.  They alone
