@@ -52,8 +52,7 @@ def statistics(block: Block) -> np.ndarray:
     data, offsets = block.data, block.offsets
 
     def shares(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-        return total[offsets[1:]] - total[offsets[:-1]]
+        return np.diff(np.searchsorted(np.flatnonzero(mask), offsets))
 
     rows = block.rows
     size = np.diff(offsets)
@@ -64,12 +63,12 @@ def statistics(block: Block) -> np.ndarray:
     coded = slices_of(data, starts, ends).dictionary_encode()
     codes, kinds = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
     per_row = lambda mask: np.bincount(row[mask], minlength=rows)
-    distinct = np.bincount(np.unique(row * kinds + codes) // kinds, minlength=rows)
+    distinct = np.bincount(_once(row * kinds + codes) // kinds, minlength=rows)
     follow = row[1:] == row[:-1] if len(row) else np.zeros(0, bool)
     pair = (codes[:-1] * 1_000_003 + codes[1:])[follow] if len(row) else codes
     pair_rows = row[1:][follow] if len(row) else row
     hashed = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype(np.int64)
-    pairs = np.bincount(np.unique(pair_rows.astype(np.int64) << 40 | hashed) >> 40, minlength=rows)
+    pairs = np.bincount(_once(pair_rows.astype(np.int64) << 40 | hashed) >> 40, minlength=rows)
     length = ends - starts
     last = data[ends - 1] if len(ends) else data[:0]
     upper_total = np.concatenate([[0], np.cumsum(UPPER[data], dtype=np.int64)])
@@ -118,6 +117,14 @@ def statistics(block: Block) -> np.ndarray:
     )
 
 
+def _once(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, in order."""
+    keys = np.sort(keys)
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return keys[new]
+
+
 def _logit(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """Log-odds of a share, smoothed by half an occurrence."""
     part = np.minimum(part, whole)
