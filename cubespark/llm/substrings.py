@@ -322,12 +322,13 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     result = StructType([StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), *kept_fields])
     schema = to_arrow_schema(result)
     packed = stored(source.mapInArrow(_pack, BLOCKS_DDL), "substring-blocks")
-    if buckets is None:
-        packed_bytes = packed.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packed_bytes // (8 << 20)))
+    packed_bytes = packed.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(least, -(-packed_bytes // (8 << 20)))
+    tasks = max(least, -(-packed_bytes // (16 << 20)))  # their number follows the input, not the session's setting alone
     anchors = packed.mapInArrow(functools.partial(_anchor_rows, window=window, buckets=buckets), BLOCKS_DDL)
-    marks = anchors.groupBy("bucket").applyInArrow(_met_again, BLOCKS_DDL)
-    split = stored(packed.unionByName(marks).groupBy("block").applyInArrow(lambda table: _extend(table, window), BLOCKS_DDL), "substring-candidates")
-    again = split.filter("open").mapInArrow(functools.partial(_window_rows, window=window, buckets=buckets), BLOCKS_DDL).groupBy("bucket").applyInArrow(_met_again, BLOCKS_DDL)
-    busy = split.filter("open").unionByName(again).groupBy("block").applyInArrow(lambda table: _finish_open(table, window, schema, whole), result)
+    marks = anchors.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_met_again, BLOCKS_DDL)
+    split = stored(packed.unionByName(marks).repartition(tasks, "block").groupBy("block").applyInArrow(lambda table: _extend(table, window), BLOCKS_DDL), "substring-candidates")
+    again = split.filter("open").mapInArrow(functools.partial(_window_rows, window=window, buckets=buckets), BLOCKS_DDL).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_met_again, BLOCKS_DDL)
+    busy = split.filter("open").unionByName(again).repartition(tasks, "block").groupBy("block").applyInArrow(lambda table: _finish_open(table, window, schema, whole), result)
     return split.filter("not open").mapInArrow(functools.partial(_finish_closed, window=window, schema=schema, whole=whole), result).unionByName(busy)
