@@ -65,7 +65,7 @@ MAPS_DDL = f"{COUNTS_DDL}, row bigint, segment bigint, part bigint, head string,
 #: Characters of a chunk; texts up to one chunk are counted where they are read.
 CHUNK = 1 << 16
 #: Nodes with at most so many pieces below them look through those for what tells left neighbours apart.
-NARROW = 80
+NARROW = 40
 
 
 class MergeAutomaton:
