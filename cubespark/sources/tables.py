@@ -40,9 +40,14 @@ def vector_pixels(vectors: DataFrame, channels: Range | None = None, x: Range |
     )
 
 
+def vector_count(spark: SparkSession, sf_dir: str) -> int:
+    """How many vectors there are, from the files' footers.  They are numbered from 0 without gaps, so the last plane may end early, after any of its rows."""
+    return table(spark, sf_dir, "embeddings").count()
+
+
 def vector_cube(spark: SparkSession, sf_dir: str, **bounds: Range) -> tuple[DataFrame, CubeMeta]:
-    """The pixels and their description.  Vectors are numbered from 0 without gaps, so the count, which the files' footers hold, gives the channels."""
+    """The pixels and their description: as many channels as the vectors fill or begin."""
     vectors = table(spark, sf_dir, "embeddings")
-    channels = -(-vectors.count() // HEIGHT)
+    channels = -(-vector_count(spark, sf_dir) // HEIGHT)
     axes = (Axis("l", "x", WIDTH, 4), Axis("m", "y", HEIGHT, 3), Axis("frequency", "spectral", channels, 1), Axis("polarization", "polarization", 1, 2), Axis("time", "time", 1, 0))
     return vector_pixels(vectors, **bounds), CubeMeta(axes, CHUNK)

@@ -159,12 +159,17 @@ def stream_blocks(stream: DataFrame, pixels_per_channel: int, sink: Callable[[Da
     return _handed(running_statistics(stream), lambda batch: (batch, F.lit(pixels_per_channel)), sink, checkpoint)
 
 
-def stream_region_blocks(stream: DataFrame, runs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, most_runs: int | None = None):
-    """The same by region and channel: complete once as many pixels have arrived as the region selects of a plane."""
+def stream_region_blocks(stream: DataFrame, runs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, most_runs: int | None = None, short: tuple[int, int] | None = None):
+    """The same by region and channel: complete once as many pixels have arrived as the region selects of a plane.
+
+    short: a channel whose plane ends early, and how many rows it has.
+    """
 
     def expected(batch: DataFrame):
-        wanted = runs.groupBy("region_id").agg(F.sum(F.col("x_end") - F.col("x_begin")).alias("wanted"))
-        return batch.join(wanted, "region_id"), F.col("wanted")
+        width = F.col("x_end") - F.col("x_begin")
+        channel, rows = short or (-1, 0)
+        wanted = runs.groupBy("region_id").agg(F.sum(width).alias("wanted"), F.sum(F.when(F.col("y") < rows, width).otherwise(0)).alias("of_short"))
+        return batch.join(wanted, "region_id"), F.when(F.col("channel") == channel, F.col("of_short")).otherwise(F.col("wanted"))
 
     return _handed(running_statistics(stream, runs=runs, most_runs=most_runs), expected, sink, checkpoint)
 
