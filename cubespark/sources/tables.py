@@ -51,3 +51,8 @@ def vector_cube(spark: SparkSession, sf_dir: str, **bounds: Range) -> tuple[Data
     channels = -(-vector_count(spark, sf_dir) // HEIGHT)
     axes = (Axis("l", "x", WIDTH, 4), Axis("m", "y", HEIGHT, 3), Axis("frequency", "spectral", channels, 1), Axis("polarization", "polarization", 1, 2), Axis("time", "time", 1, 0))
     return vector_pixels(vectors, **bounds), CubeMeta(axes, CHUNK)
+
+
+def of_vectors(pixels: DataFrame, vectors: int) -> DataFrame:
+    """Pixels that a vector holds: a store of the cube has whole planes, while the last one of the table may end early."""
+    return pixels.filter(F.col("channel").cast("bigint") * HEIGHT + F.col("y") < vectors)
