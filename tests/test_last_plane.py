@@ -28,7 +28,7 @@ def compared(spark, folder, name):
         return text(found), text(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["stream_region_statistics", "zarr_logical_order"])
+@pytest.mark.parametrize("name", ["stream_region_statistics", "zarr_logical_order", "zarr_histogram_sampled"])
 def test_queries_equal_their_sql(spark, folder, name):
     found, want = compared(spark, folder, name)
     assert found == want
