@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import axes, layouts
-from ..sources.tables import table, vector_cube
+from ..sources.tables import HEIGHT, WIDTH, table, vector_cube
 
 
 def linear_axis_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def noise_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks one channel deep, and those of nothing but NaN."""
     pixels, cube = vector_cube(spark, sf_dir)
-    return layouts.nan_chunks(pixels, cube.chunk | {"spectral": 1})
+    return layouts.nan_chunks(pixels, cube.chunk | {"spectral": 1}, -(-WIDTH // cube.chunk["x"]) * -(-HEIGHT // cube.chunk["y"]))
 
 
 def read_model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
