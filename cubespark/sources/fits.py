@@ -7,16 +7,20 @@ import uuid
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CubeError
 from ..functions.pixels import folded
+from ..session import reachable
 from .images import Image
 from .results import ordered_values, refuse_overwrite
 
 #: Fixed values of the format: bytes of a card and of a block; codes of polarizations.
 CARD, BLOCK = 80, 2880
+#: Values that a task holds at once.
+VALUES = 1 << 18
 STOKES = {"I": 1, "Q": 2, "U": 3, "V": 4, "RR": -1, "LL": -2, "RL": -3, "LR": -4, "XX": -5, "YY": -6, "XY": -7, "YX": -8}
 
 
@@ -86,11 +90,27 @@ def write_fits(pixels: DataFrame, image: Image, target: str, *inputs: str, time:
 
 def read_fits(path: str) -> tuple[dict[str, object], np.ndarray]:
     """(cards, values in logical order reversed: polarization, channel, y, x) of such a file."""
-    raw = Path(path).read_bytes()
+    raw = np.memmap(path, np.uint8, "r")
     cards, at = {}, 0
-    while not (line := raw[at : at + CARD].decode("ascii")).startswith("END "):
+    while not (line := raw[at : at + CARD].tobytes().decode("ascii")).startswith("END "):
         key, text, at = line[:8].strip(), line[10:].strip(), at + CARD
         cards[key] = text[1:-1].replace("''", "'").strip() if text.startswith("'") else text == "T" if text in ("T", "F") else float(text) if any(c in text for c in ".E") else int(text)
     start = -(-(at + CARD) // BLOCK) * BLOCK
     shape = [cards[f"NAXIS{i}"] for i in range(cards["NAXIS"], 0, -1)]
     return cards, np.frombuffer(raw, ">f4", int(np.prod(shape)), start).reshape(shape)
+
+
+def pixels_of(spark: SparkSession, path: str) -> DataFrame:
+    """The values of such a file with their places, read piece by piece in tasks, which must see it as a file."""
+    pieces = -(-read_fits(path)[1].size // VALUES)
+
+    def read(batches):
+        _, values = read_fits(path)
+        flat = values.reshape(-1)
+        for batch in batches:
+            for first in (n * VALUES for n in batch.column("id").to_pylist()):
+                part = flat[first : first + VALUES]
+                places = np.unravel_index(np.arange(first, first + len(part)), values.shape)
+                yield pa.RecordBatch.from_pydict(dict(zip(("polarization", "channel", "y", "x"), map(pa.array, places))) | {"value": pa.array(part.astype(np.float64))})
+
+    return reachable(spark).range(0, pieces, 1, max(1, min(pieces, 100_000))).mapInArrow(read, "polarization bigint, channel bigint, y bigint, x bigint, value double")
